@@ -141,7 +141,7 @@ def _(s, d):
 @query("root_span_range", "2.2.15", sql="""
 SELECT application_id, min(ts) AS first_ts, max(ts) AS last_ts FROM tree WHERE parent_span_id = '' GROUP BY 1""")
 def _(s, d):
-    return ops.root_span_range(spans(s, d, tree=True), ["application_id"])
+    return ops.root_span_range(spans(s, d), ["application_id"])
 
 
 @query("conversation_counts", "2.2.16", sql=f"""

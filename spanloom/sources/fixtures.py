@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom import schema as keys
+from spanloom.functions.ordered import Sequence
+from spanloom.session import written
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -189,7 +191,7 @@ FROM (SELECT e0.*, {K} AS k, concat('s', CAST(user_id AS {S}), 'w', CAST(CAST(fl
 
 # Label versions: two rows for a document that is labelled toxic.
 LABEL_ROWS = """
-SELECT concat('d', CAST(doc_id AS {S})) AS session_key, quality = 1 AS label, 'a' AS labeler, 1 AS updated_at FROM labels
+SELECT concat('d', CAST(doc_id AS {S})) AS session_id, quality = 1 AS label, 'a' AS labeler, 1 AS updated_at FROM labels
 UNION ALL SELECT concat('d', CAST(doc_id AS {S})), FALSE, 'b', 2 FROM labels WHERE toxic = 1
 """
 
@@ -263,25 +265,36 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: table(spark, d, n) for n in used})
 
 
-def spans(spark: SparkSession, d: str, tree: bool = False) -> DataFrame:
-    """Spans in the canonical shape (``schema.SPAN``); ``tree`` adds parent and owner spans."""
-    flat = table(spark, d, "flat")
-    if tree:
-        from spanloom.functions.ordered import Sequence
-
-        last = F.when(F.col("kind") == "agent", F.col("span_id"))
-        flat = (
-            Sequence(flat, ["session_id"], ["ts", "span_id"])
-            .last_seen("last_agent", last)
-            .done()
-            .withColumn("last_agent_span", F.coalesce("last_agent", F.lit("")))
-            .withColumn(
-                "parent_span_id",
-                F.when(F.col("kind").isin("graph", "note", "mark"), "")
-                .when((F.col("kind") == "agent") & (F.col("k") % 2 == 0), "")
-                .otherwise(F.col("last_agent_span")),
-            )
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """A derived table that many queries read, written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = written(make(), name)
+    return _STORED[key]
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """The span table in its canonical shape."""
+    return stored(spark, d, "spans", lambda: derive_spans(spark, d))
+
+
+def derive_spans(spark: SparkSession, d: str) -> DataFrame:
+    last = F.when(F.col("kind") == "agent", F.col("span_id"))
+    flat = (
+        Sequence(table(spark, d, "flat"), ["session_id"], ["ts", "span_id"])
+        .last_seen("last_agent", last)
+        .done()
+        .withColumn("last_agent_span", F.coalesce("last_agent", F.lit("")))
+        .withColumn(
+            "parent_span_id",
+            F.when(F.col("kind").isin("graph", "note", "mark"), "")
+            .when((F.col("kind") == "agent") & (F.col("k") % 2 == 0), "")
+            .otherwise(F.col("last_agent_span")),
         )
+    )
     kind, k = F.col("kind"), F.col("k")
     capability = kind.isin("chat", "tool")
     pairs = [
@@ -301,17 +314,16 @@ def spans(spark: SparkSession, d: str, tree: bool = False) -> DataFrame:
         (keys.APPLICATION, F.col("application_id")),
         (keys.SESSION, F.col("session_id")),
     ]
-    if tree:
-        pairs += [
-            (keys.OWNER_SPAN, F.when(capability, F.nullif("last_agent_span", F.lit("")))),
-            (
-                keys.HANDOFF_SOURCES,
-                F.when(
-                    (kind == "agent") & (k % 6 == 0) & (F.col("last_agent_span") != ""),
-                    F.concat(F.lit('["'), "last_agent_span", F.lit('"]')),
-                ),
+    pairs += [
+        (keys.OWNER_SPAN, F.when(capability, F.nullif("last_agent_span", F.lit("")))),
+        (
+            keys.HANDOFF_SOURCES,
+            F.when(
+                (kind == "agent") & (k % 6 == 0) & (F.col("last_agent_span") != ""),
+                F.concat(F.lit('["'), "last_agent_span", F.lit('"]')),
             ),
-        ]
+        ),
+    ]
     entries = F.filter(
         F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in pairs]),
         lambda e: e["value"].isNotNull(),
@@ -327,11 +339,10 @@ def spans(spark: SparkSession, d: str, tree: bool = False) -> DataFrame:
     events = F.when(kind == "note", F.array(start)).otherwise(F.array().cast("array<struct<ts:timestamp_ntz,name:string,attributes:map<string,string>>>"))
     cols = [
         "ts", "trace_id", "span_id", "span_name", "application_id", "session_id", "agent_id",
-        "duration", "status_code", "status_message",
+        "duration", "status_code", "status_message", "parent_span_id",
     ]
-    extra = ["parent_span_id"] if tree else []
     return flat.select(
-        *cols, *extra,
+        *cols,
         F.col("application_id").alias("service_name"),
         F.map_from_entries(entries).alias("attrs"),
         events.alias("events"),
@@ -340,8 +351,6 @@ def spans(spark: SparkSession, d: str, tree: bool = False) -> DataFrame:
 
 def counter(spark: SparkSession, d: str) -> DataFrame:
     """Restarting counters: running sums inside the pieces between signups."""
-    from spanloom.functions.ordered import Sequence
-
     rows = table(spark, d, "counter_rows")
     parts = Sequence(rows, ["agent"], ["ts", "seq"]).running_sum("part", "restart").done()
     run = Sequence(parts, ["agent", "part"], ["ts", "seq"])
