@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.ordered import Sequence
@@ -181,18 +182,29 @@ def count_cycles(seq: list[int]) -> int:
 def cycles(steps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Cycles per session. The scan is sequential by definition, so a session is one unit of work.
 
-    Only names travel, coded as 64-bit hashes, which keeps even a long session small.
+    Sessions stream through their partition in order; what is held at a time is the current
+    session's names as 64-bit codes, and no session pays for a call into Python of its own.
     """
     coded = steps.where(F.coalesce("agent", F.lit("")) != "").select(*keys, *order, F.xxhash64("agent").alias("code"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.select(*keys).schema)
-
-    def scan(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        out = pdf.iloc[:1][keys].copy()
-        out["cycles"] = count_cycles(pdf["code"].tolist())
-        return out
-
-    return coded.groupBy(*keys).applyInPandas(scan, f"{fields}, cycles bigint")
+    ordered = coded.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "code")
+
+    def scan(batches):
+        current, codes = None, []
+        for pdf in batches:
+            done = []
+            ids = list(zip(*[pdf[k].tolist() for k in keys]))
+            for key, code in zip(ids, pdf["code"].tolist()):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, count_cycles(codes)))
+                    current, codes = key, []
+                codes.append(code)
+            yield pd.DataFrame(done, columns=[*keys, "cycles"])
+        if current is not None:
+            yield pd.DataFrame([(*current, count_cycles(codes))], columns=[*keys, "cycles"])
+
+    return ordered.mapInPandas(scan, f"{fields}, cycles bigint")
 
 
 def graph_determinism(edges: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
@@ -254,9 +266,8 @@ def expected_score(alternatives: Column, scale: int) -> Column:
     digits = F.filter(
         F.transform(alternatives, lambda a: F.struct(F.trim(a["token"]).try_cast("int").alias("d"), a["logprob"].alias("lp"))),
         lambda a: (a["d"] >= 1) & (a["d"] <= scale))
-    best = F.transform(F.sequence(F.lit(1), F.lit(scale)), lambda d: F.struct(
-        d.alias("d"), F.array_max(F.transform(F.filter(digits, lambda a: a["d"] == d), lambda a: a["lp"])).alias("lp")))
-    seen = F.filter(best, lambda b: b["lp"].isNotNull())
+    ranked = F.array_sort(digits)
+    seen = F.filter(ranked, lambda a, i: F.coalesce(F.get(ranked, i + 1)["d"] != a["d"], F.lit(True)))
     total = F.aggregate(seen, F.lit(0.0), lambda s, b: s + F.exp(b["lp"]))
     mean = F.aggregate(seen, F.lit(0.0), lambda s, b: s + b["d"] * F.exp(b["lp"]))
     return mean / F.nullif(total, F.lit(0.0))

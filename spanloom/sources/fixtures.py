@@ -180,8 +180,8 @@ SELECT event_id AS id, ts, CASE WHEN k % 2 = 0 THEN concat('app', CAST(user_id %
  CASE k % 4 WHEN 0 THEN concat('{{"metric_name":"PassiveEvalApp","category":"application","value":{{"eval.app.tool_calls":', CAST(k AS {S}),
    ',"eval.app.tool_fails":', CAST(k % 3 AS {S}), ',"eval.app.llm_calls":', CAST(k % 17 AS {S}), ',"eval.app.llm_fails":', CAST(k % 2 AS {S}),
    ',"eval.app.llm_cost":', CAST(k % 9 AS {S}), '.5,"eval.app.duration":', CAST(k * 3 AS {S}), ',"eval.app.graph_determinism":0.', CAST(k % 10 AS {S}), ',"eval.app.graph_dynamism":0.25}}}}')
-  WHEN 1 THEN concat('{{"metric_name":"PassiveEvalAgents","category":"agent","value":{{"Agent_', CAST(k % 3 AS {S}), '":{{"llm_duration":', CAST(k AS {S}),
-   ',"llm_cost":', CAST(k % 5 AS {S}), '.25}},"agent3":{{"llm_duration":1,"llm_cost":0.5}}}}}}')
+  WHEN 1 THEN concat('{{"metric_name":"PassiveEvalAgents","category":"agent","value":{{"agents":{{"Agent_', CAST(k % 3 AS {S}), '":{{"eval.agent.llm_duration":', CAST(k AS {S}),
+   ',"eval.agent.llm_cost":', CAST(k % 5 AS {S}), '.25}},"agent3":{{"eval.agent.llm_duration":1,"eval.agent.llm_cost":0.5}}}}}}}}')
   WHEN 2 THEN concat('{{"metric_name":"TaskCompletion","category":"agent","value":0.', CAST(k % 10 AS {S}), '}}')
   ELSE concat('{{"metric_name":"AnswerRelevancy","category":"application","value":0.', CAST(k % 10 AS {S}), '}}') END AS metrics,
  CASE k % 4 WHEN 0 THEN 'PassiveEvalApp' WHEN 1 THEN 'PassiveEvalAgents' WHEN 2 THEN 'TaskCompletion' ELSE 'AnswerRelevancy' END AS doc_metric, k
@@ -195,6 +195,27 @@ SELECT concat('d', CAST(doc_id AS {S})) AS session_id, quality = 1 AS label, 'a'
 UNION ALL SELECT concat('d', CAST(doc_id AS {S})), FALSE, 'b', 2 FROM labels WHERE toxic = 1
 """
 
+# Waste estimates, feature scores, contributions, insights and evaluation verdicts per session.
+WASTE = """
+SELECT session_key, application_id, round(avg(CAST(k AS DOUBLE)) / 100, 6) AS estimated_waste,
+ CASE WHEN sum(k) % 3 = 0 THEN 0.0 ELSE round(CAST(sum(k) AS DOUBLE) / 1000, 6) END AS actual_cost,
+ round(1 - avg(CAST(k AS DOUBLE)) / 100, 6) AS cost_efficiency, min(ts) AS started FROM span_rows GROUP BY 1, 2
+"""
+FEATURE_SCORES = """
+SELECT session_key, quality_target, feature, score, row_number() OVER (PARTITION BY session_key, quality_target ORDER BY score DESC, feature) AS rank FROM (
+ SELECT session_key, CASE WHEN k % 2 = 0 THEN 'accuracy' ELSE 'latency' END AS quality_target, concat('f', span_id) AS feature, result AS score FROM metric_rows) x
+"""
+CONTRIBUTIONS = """
+SELECT session_key, application_id, concat('m', CAST(k % 2 AS {S})) AS metric, concat('{{"agent', CAST(k % 4 AS {S}), '": 0.', CAST(k % 9 AS {S}), ', "agent', CAST((k + 1) % 4 AS {S}), '": 0.5}}') AS contributions
+FROM span_rows WHERE kind = 'chat'
+"""
+INSIGHTS = """
+SELECT concat('in', span_id) AS insight_id, session_key, application_id, concat('Insight ', CAST(k % 7 AS {S})) AS name, k % 5 AS priority, ts AS created FROM span_rows WHERE status_code = 'Error'
+"""
+VERDICTS = """
+SELECT session_key, application_id, concat('{{"total_fatal": ', CAST(k % 3 AS {S}), ', "total_minor": ', CAST(k % 5 AS {S}), '}}') AS reasoning, CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0.0 END AS result FROM span_rows WHERE kind = 'agent'
+"""
+
 DEFINITIONS: dict[str, str] = {
     "span_rows": SPAN_ROWS,
     "flat": FLAT,
@@ -211,6 +232,11 @@ DEFINITIONS: dict[str, str] = {
     "counter_rows": COUNTER_ROWS,
     "derived": DERIVED,
     "label_rows": LABEL_ROWS,
+    "waste": WASTE,
+    "feature_scores": FEATURE_SCORES,
+    "contributions": CONTRIBUTIONS,
+    "insights": INSIGHTS,
+    "verdicts": VERDICTS,
 }
 ORACLE_ONLY = {"tree": TREE_ORACLE, "counter": COUNTER_ORACLE}
 _DUCK = {"S": "VARCHAR", "K": "CAST(json_extract_string(props, '$.k') AS BIGINT)"}
