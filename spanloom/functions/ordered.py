@@ -1,9 +1,10 @@
 """Ordered work inside groups that may be very long.
 
-A window partitioned by a session alone puts a whole session into one task. ``Sequence`` keeps
-ordinary groups whole, and cuts a group that holds more than a thousandth of all rows into
-ordered chunks at quantiles of its first order column. Windows then run per (group, chunk), and
-what crosses a chunk border travels through a summary of one row per chunk.
+A window partitioned by a session alone puts a whole session into one task. ``Sequence`` first
+counts rows per group. When no group is long, plain windows do. Otherwise groups that hold more
+than a thousandth of all rows are cut into ordered chunks at quantiles of the first order column;
+windows then run per (group, chunk), and what crosses a chunk border travels through a summary of
+one row per chunk.
 
 Sizes: at most 1000 groups can exceed a thousandth of the rows, each has at most ``CUTS`` + 1
 chunks, so the summaries that are broadcast have a fixed upper bound whatever the data volume.
@@ -15,6 +16,8 @@ from collections.abc import Sequence as Seq
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanloom.session import cut_lineage
+
 CUTS = 199
 LONG_SHARE = 1000
 MIN_LONG_ROWS = 1_000_000
@@ -22,11 +25,13 @@ MIN_LONG_ROWS = 1_000_000
 
 def long_group_cuts(
     df: DataFrame, keys: list[str], first: str, min_rows: int = MIN_LONG_ROWS
-) -> DataFrame:
-    """(keys, _cuts) for the few groups long enough to be cut."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.agg((F.sum("_n") / LONG_SHARE).alias("s")).scalar()
-    hot = counts.where(F.col("_n") > F.lit(min_rows)).where(F.col("_n") > share).select(*keys)
+) -> DataFrame | None:
+    """(keys, _cuts) for the few groups long enough to be cut; None when there are none."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
+    if counts.isEmpty():
+        return None
+    share = df.agg((F.count(F.lit(1)) / LONG_SHARE).alias("s")).scalar()
+    hot = counts.where(F.col("_n") > share).select(*keys)
     fractions = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
     return (
         df.join(F.broadcast(hot), keys, "left_semi")
@@ -35,6 +40,14 @@ def long_group_cuts(
     )
 
 
+def _sum_before(part: Column, w) -> Column:
+    return F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _last_before(part: Column, w) -> Column:
+    return F.last(part, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
 class Sequence:
     """Rows of ``df`` ordered by ``order`` within ``keys``; the first order column is numeric or time."""
 
@@ -54,44 +67,43 @@ class Sequence:
             self.order[0],
             MIN_LONG_ROWS if min_rows is None else min_rows,
         )
-        first = F.col(self.order[0])
-        self.df = (
-            df.join(F.broadcast(cuts), self.keys, "left")
-            .withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0)))
-            .withColumn("_long", F.col("_cuts").isNotNull())
-            .drop("_cuts")
-        )
+        self.cut = cuts is not None
+        self.df = df
+        if self.cut:
+            first = F.col(self.order[0])
+            self.df = (
+                df.join(F.broadcast(cut_lineage(cuts)), self.keys, "left")
+                .withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0)))
+                .withColumn("_long", F.col("_cuts").isNotNull())
+                .drop("_cuts")
+            )
 
     def _window(self, reverse: bool = False):
         cols = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
-        return Window.partitionBy(*self.keys, "_chunk").orderBy(*cols)
+        return Window.partitionBy(*self.keys, *(["_chunk"] if self.cut else [])).orderBy(*cols)
 
-    def _carry(self, aggregate: Column, over, reverse: bool = False) -> DataFrame:
-        """One row per chunk of the long groups, with what earlier (later) chunks hand over."""
-        summary = (
-            self.df.where("_long").groupBy(*self.keys, "_chunk").agg(aggregate.alias("_part"))
-        )
+    def _carried(self, df: DataFrame, aggregate: Column, over, reverse: bool = False) -> DataFrame:
+        """``df`` with ``_carry``: what the chunks before (after) a row's own hand over to it."""
+        summary = self.df.where("_long").groupBy(*self.keys, "_chunk").agg(aggregate.alias("_part"))
         order = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
         w = Window.partitionBy(*self.keys).orderBy(order)
-        return summary.select(*self.keys, "_chunk", over(F.col("_part"), w).alias("_carry"))
-
-    def _join(self, carry: DataFrame) -> DataFrame:
-        return self.df.join(F.broadcast(carry), [*self.keys, "_chunk"], "left")
+        carry = summary.select(*self.keys, "_chunk", over(F.col("_part"), w).alias("_carry"))
+        return df.join(F.broadcast(carry), [*self.keys, "_chunk"], "left")
 
     def _neighbour(self, cols: dict[str, Column | str], reverse: bool) -> "Sequence":
         pack = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(o) for o, c in cols.items()])
-        edge = F.min_by if reverse else F.max_by
-        df = self.df.withColumn("_pack", pack)
-        self.df = df
-        carry = self._carry(
-            edge("_pack", F.struct(*self.order)),
-            lambda part, w: F.lag(part).over(w),
-            reverse,
-        )
-        self.df = df.withColumn("_near", F.lag("_pack").over(self._window(reverse))).drop("_pack")
-        near = F.coalesce("_near", "_carry")
-        joined = self._join(carry)
-        self.df = joined.withColumns({o: near[o] for o in cols}).drop("_near", "_carry")
+        near = F.lag(pack).over(self._window(reverse))
+        if self.cut:
+            edge = F.min_by if reverse else F.max_by
+            df = self._carried(
+                self.df.withColumn("_near", near),
+                edge(pack, F.struct(*self.order)),
+                lambda part, w: F.lag(part).over(w),
+                reverse,
+            ).withColumn("_near", F.coalesce("_near", "_carry")).drop("_carry")
+        else:
+            df = self.df.withColumn("_near", near)
+        self.df = df.withColumns({o: F.col("_near")[o] for o in cols}).drop("_near")
         return self
 
     def prev(self, **cols: Column | str) -> "Sequence":
@@ -104,42 +116,33 @@ class Sequence:
 
     def number(self, out: str = "pos", reverse: bool = False) -> "Sequence":
         """1-based position from the start (or from the end)."""
-        before = lambda part, w: F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        carry = self._carry(F.count(F.lit(1)), before, reverse)
-        numbered = self.df.withColumn(out, F.row_number().over(self._window(reverse)).cast("bigint"))
-        self.df = numbered
-        self.df = (
-            self._join(carry)
-            .withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0)))
-            .drop("_carry")
-        )
+        df = self.df.withColumn(out, F.row_number().over(self._window(reverse)).cast("bigint"))
+        if self.cut:
+            df = self._carried(df, F.count(F.lit(1)), _sum_before, reverse)
+            df = df.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+        self.df = df
         return self
 
     def running_sum(self, out: str, col: Column | str, inclusive: bool = True) -> "Sequence":
         value = F.col(col) if isinstance(col, str) else col
-        before = lambda part, w: F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        carry = self._carry(F.sum(value), before)
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        self.df = self.df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
-        self.df = (
-            self._join(carry)
-            .withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0)))
-            .drop("_carry")
-        )
+        df = self.df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
+        if self.cut:
+            df = self._carried(df, F.sum(value), _sum_before)
+            df = df.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+        self.df = df
         return self
 
     def last_seen(self, out: str, col: Column | str, inclusive: bool = False) -> "Sequence":
         """Latest non-NULL value before the row (or up to it)."""
         value = F.col(col) if isinstance(col, str) else col
-        carry = self._carry(
-            F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order))),
-            lambda part, w: F.last(part, ignorenulls=True).over(
-                w.rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        self.df = self.df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
-        self.df = self._join(carry).withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
+        df = self.df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
+        if self.cut:
+            newest = F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
+            df = self._carried(df, newest, _last_before)
+            df = df.withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
+        self.df = df
         return self
 
     def done(self) -> DataFrame:

@@ -258,19 +258,20 @@ def judge_score(reply: Column) -> Column:
     return F.coalesce(last, F.nullif(F.regexp_extract(reply, BARE_SCORE, 1), F.lit(""))).try_cast("double")
 
 
-def expected_score(alternatives: Column, scale: int) -> Column:
+def expected_score(df: DataFrame, alternatives: str, scale: int, out: str = "score") -> DataFrame:
     """Mean digit weighted by exp(logprob) over ``array<struct<token, logprob>>``, digits 1..scale only.
 
-    A token listed twice counts with its larger probability.
+    A token listed twice counts with its larger probability: after sorting, the last of equals.
     """
-    digits = F.filter(
-        F.transform(alternatives, lambda a: F.struct(F.trim(a["token"]).try_cast("int").alias("d"), a["logprob"].alias("lp"))),
-        lambda a: (a["d"] >= 1) & (a["d"] <= scale))
-    ranked = F.array_sort(digits)
-    seen = F.filter(ranked, lambda a, i: F.coalesce(F.get(ranked, i + 1)["d"] != a["d"], F.lit(True)))
-    total = F.aggregate(seen, F.lit(0.0), lambda s, b: s + F.exp(b["lp"]))
-    mean = F.aggregate(seen, F.lit(0.0), lambda s, b: s + b["d"] * F.exp(b["lp"]))
-    return mean / F.nullif(total, F.lit(0.0))
+    parsed = F.transform(alternatives, lambda a: F.struct(F.trim(a["token"]).try_cast("int").alias("d"), a["logprob"].alias("lp")))
+    digits = F.array_sort(F.filter(parsed, lambda a: (a["d"] >= 1) & (a["d"] <= scale)))
+    weigh = lambda f: F.aggregate("_seen", F.lit(0.0), lambda s, b: s + f(b))
+    return (
+        df.withColumn("_ranked", digits)
+        .withColumn("_seen", F.filter("_ranked", lambda a, i: F.coalesce(F.get("_ranked", i + 1)["d"] != a["d"], F.lit(True))))
+        .withColumn(out, weigh(lambda b: b["d"] * F.exp(b["lp"])) / F.nullif(weigh(lambda b: F.exp(b["lp"])), F.lit(0.0)))
+        .drop("_ranked", "_seen")
+    )
 
 
 def conversation_text(calls: DataFrame, keys: list[str]) -> DataFrame:

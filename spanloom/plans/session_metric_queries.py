@@ -201,7 +201,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((1 * exp(-l_discoun
 def _(s, d):
     alt = lambda tok, lp: F.struct(F.lit(tok).alias("token"), lp.alias("logprob"))
     alts = F.array(alt(" 1", -F.col("l_discount")), alt("3", -F.col("l_tax")), alt("5", F.lit(-0.5)), alt("5", F.lit(-2.0)), alt("x", F.lit(0.0)), alt("9", F.lit(0.0)))
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(sm.expected_score(alts, 5)).alias("score"))
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", alts.alias("alts"))
+    return sm.expected_score(rows, "alts", 5).withColumn("score", r6("score")).drop("alts")
 
 
 @query("conversation_texts", "2.7.20", sql="""
