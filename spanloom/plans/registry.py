@@ -15,7 +15,12 @@ class Entry:
     name: str
     lines: tuple[str, ...]
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    text: str | None
+
+    @property
+    def sql(self) -> str | None:
+        """Self-contained oracle SQL; fixture tables are resolved when asked for."""
+        return oracle_with(self.text) if self.text else None
 
 
 ENTRIES: dict[str, Entry] = {}
@@ -27,7 +32,7 @@ def query(name: str, *lines: str, sql: str | None = None):
     def wrap(fn):
         if name in ENTRIES:
             raise ValueError(f"query {name} is registered twice")
-        ENTRIES[name] = Entry(name, lines, fn, oracle_with(sql) if sql else None)
+        ENTRIES[name] = Entry(name, lines, fn, sql)
         return fn
 
     return wrap
