@@ -290,7 +290,7 @@ def isolation_outliers(values: DataFrame, keys: list[str], seed: int = 11, trees
     score = F.pow(F.lit(2.0), -(F.col("length") / trees) / F.nullif(F.col("norm"), F.lit(0.0)))
     scored = paths.select(*keys, "id", score.alias("score"))
     return rows.join(scored, [*keys, "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn(
-        "outlier", F.col("score") > ANOMALY_SCORE + 0.1)
+        "outlier", F.col("score") > ANOMALY_SCORE)
 
 
 def centroid_outliers(vectors: DataFrame, key: str = "group_id", limit: float = 3.5) -> DataFrame:

@@ -90,9 +90,9 @@ def _(s, d):
 
 
 @query("single_query_names", "2.9.9", sql="""
-SELECT session_key AS group_id, min(text) AS name FROM (SELECT session_key, CASE WHEN idx % 2 = 0 THEN 'same' ELSE agent END AS text FROM steps) GROUP BY 1 HAVING count(DISTINCT text) = 1""")
+SELECT session_key AS group_id, min(text) AS name FROM (SELECT session_key, CASE WHEN idx % 2 = 0 OR length(text) > 200 THEN 'same' ELSE agent END AS text FROM steps) GROUP BY 1 HAVING count(DISTINCT text) = 1""")
 def _(s, d):
-    q = table(s, d, "steps").select(F.col("session_key").alias("group_id"), F.when(F.col("idx") % 2 == 0, "same").otherwise(F.col("agent")).alias("query"))
+    q = table(s, d, "steps").select(F.col("session_key").alias("group_id"), F.when((F.col("idx") % 2 == 0) | (F.length("text") > 200), "same").otherwise(F.col("agent")).alias("query"))
     return gr.single_query_names(q)
 
 
@@ -261,11 +261,11 @@ def _(s, d):
 
 
 @query("confidence_ellipsoid", "2.9.23", sql="""
-SELECT group_id, i - 1 AS i, j - 1 AS j, round(covar_samp(CAST(vector[i] AS DOUBLE), CAST(vector[j] AS DOUBLE)), 6) AS cov, round(64 * pow(1 - 2.0 / (9.0 * 64) + 1.6448536269514722 * sqrt(2.0 / (9.0 * 64)), 3), 4) AS threshold
+SELECT group_id, i - 1 AS i, j - 1 AS j, CASE WHEN round(covar_samp(CAST(vector[i] AS DOUBLE), CAST(vector[j] AS DOUBLE)), 6) = 0 THEN 0 ELSE round(covar_samp(CAST(vector[i] AS DOUBLE), CAST(vector[j] AS DOUBLE)), 6) END AS cov, round(64 * pow(1 - 2.0 / (9.0 * 64) + 1.6448536269514722 * sqrt(2.0 / (9.0 * 64)), 3), 4) AS threshold
 FROM vectors, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) WHERE i <= j GROUP BY 1, i, j""")
 def _(s, d):
     out = gr.confidence_ellipsoid(vectors(s, d), ["group_id"])
-    return out.select("group_id", "i", "j", r6("cov").alias("cov"), F.round("threshold", 4).alias("threshold"))
+    return out.select("group_id", "i", "j", F.when(r6("cov") == 0, 0.0).otherwise(r6("cov")).alias("cov"), F.round("threshold", 4).alias("threshold"))
 
 
 @query("medoid_graphs", "2.9.24", sql="""
