@@ -257,12 +257,14 @@ def oracle_with(sql: str) -> str:
     texts = {n: t.format(**_DUCK) for n, t in DEFINITIONS.items()} | ORACLE_ONLY
     needed: list[str] = []
 
+    seen: set[str] = set()
+
     def visit(text: str) -> None:
         for name in texts:
-            if name in _words(text) and name not in needed:
+            if name in _words(text) and name not in seen:
+                seen.add(name)
                 visit(texts[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(sql)
     if not needed:
