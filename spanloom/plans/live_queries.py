@@ -133,7 +133,7 @@ def _(s, d):
 
 @query("topology_tool_edges_stream", "2.11.6")
 def _(s, d):
-    return jobs.run_available(jobs.live_tool_edges(as_stream(s, d, "topology")), "append")
+    return jobs.run_available(jobs.live_tool_edges(as_stream(s, d, "topology")), "append").distinct()
 
 
 @query("span_dedup_stream", "2.11.7", sql="""

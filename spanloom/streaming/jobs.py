@@ -192,8 +192,12 @@ def tool_edges(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(scan, "session_key string, agent string, tool string").distinct()
 
 
-def live_tool_edges(stream: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
-    """The same fold as a stateful stream: the state per session is its stack and the edges already sent."""
+def live_tool_edges(stream: DataFrame, idle_ms: int = 300_000, delay: str = "1 minute") -> DataFrame:
+    """The same fold as a stateful stream: the state per session is its stack and the edges already sent.
+
+    The state of a session idle for ``idle_ms`` of event time is dropped.
+    """
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -208,12 +212,13 @@ def live_tool_edges(stream: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
                 sent.add(f"{top}\x1f{tool}")
                 new.append((key[0], top, tool))
         state.update((stack, sorted(sent)))
-        state.setTimeoutDuration(timeout_ms)
+        seen = int(rows["ts"].max().timestamp() * 1000) + idle_ms
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(new, columns=["session_key", "agent", "tool"])
 
     return stream.groupBy("session_key").applyInPandasWithState(
         step, "session_key string, agent string, tool string", "stack array<string>, sent array<string>", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 # -- spans and metrics ----------------------------------------------------------------------
