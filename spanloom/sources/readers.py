@@ -22,7 +22,7 @@ def spans_from_export(lines: DataFrame) -> DataFrame:
         F.coalesce("`Events.Timestamp`", F.array().cast("array<string>")).alias("t"), F.coalesce("`Events.Name`", F.array().cast("array<string>")).alias("n"),
         F.coalesce("`Events.Attributes`", F.array().cast("array<map<string,string>>")).alias("a"))
     events = F.transform(parallel, lambda e: F.struct(
-        F.try_to_timestamp(e[0]).cast("timestamp_ntz").alias("ts"), e[1].alias("name"), e[2].alias("attributes")))
+        F.try_to_timestamp(e["t"]).cast("timestamp_ntz").alias("ts"), e["n"].alias("name"), e["a"].alias("attributes")))
     pick = lambda key: text(attrs.getItem(key))
     filled = lambda *cols: F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
     return lines.select(
@@ -44,30 +44,30 @@ def read_metric_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("Metrics").alias("metrics"), text(F.col("AppId")).alias("application_id"), text(F.col("agent_id")).alias("agent_id"))
 
 
-# Where a trajectory file may state its session, in the order tried.
-SESSION_PLACES = ["SessionId", "session_id", "sessionId", "SpanAttributes.`session.id`", "attributes.`session.id`", "ResourceAttributes.`session.id`"]
+# Where a trajectory file may state its session, in the order tried: own keys, then keys of a map.
+SESSION_KEYS = ["SessionId", "session_id", "sessionId"]
+SESSION_MAPS = [("SpanAttributes", "session.id"), ("attributes", "session.id"), ("ResourceAttributes", "session.id")]
 _MAP = "map<string,string>"
-TRAJECTORY_LINE = (
-    "SpanId string, span_id string, SpanName string, name string, Timestamp string, timestamp string, SessionId string, session_id string, "
-    f"sessionId string, SpanAttributes {_MAP}, attributes {_MAP}, ResourceAttributes {_MAP}"
-)
 
 
 def read_trajectories(spark: SparkSession, path: str, layout: str = "lines", envelope: str = "spans") -> DataFrame:
-    """Spans of trajectory files: JSON lines, one JSON array per file, or an object that holds the array."""
+    """Spans of trajectory files: JSON lines, one JSON array per file, or an object that holds the array.
+
+    Exports differ in the case of their keys, so spans are read as maps and keys looked up exactly.
+    """
+    raw = spark.read.option("wholetext", layout != "lines").text(path).withColumn("file", F.input_file_name())
+    raw = raw.where(F.trim("value") != "")
     if layout == "lines":
-        rows = spark.read.schema(TRAJECTORY_LINE).json(path)
-    elif layout == "array":
-        rows = spark.read.schema(TRAJECTORY_LINE).option("multiLine", True).json(path)
+        rows = raw.select("file", F.from_json("value", _MAP).alias("s"))
     else:
-        shape = f"{envelope} array<struct<{TRAJECTORY_LINE.replace(' string', ':string').replace(' map<', ':map<')}>>"
-        rows = spark.read.schema(shape).option("multiLine", True).json(path).select(F.inline(envelope))
-    place = lambda p: F.col(p) if "." not in p else F.col(p.split(".", 1)[0]).getItem(p.split(".", 1)[1].strip("`"))
-    session = F.coalesce(*[F.nullif(place(p), F.lit("")) for p in SESSION_PLACES], F.lit(""))
+        text_ = F.col("value") if layout == "array" else F.get_json_object("value", f"$.{envelope}")
+        rows = raw.select("file", F.explode(F.from_json(text_, f"array<{_MAP}>")).alias("s"))
+    one = lambda *keys: F.coalesce(*[F.nullif(F.col("s").getItem(k), F.lit("")) for k in keys], F.lit(""))
+    nested = [F.nullif(F.from_json(F.col("s").getItem(m), _MAP).getItem(k), F.lit("")) for m, k in SESSION_MAPS]
     return rows.select(
-        F.coalesce("SpanId", "span_id", F.lit("")).alias("span_id"), F.coalesce("SpanName", "name", F.lit("")).alias("span_name"),
-        F.coalesce("Timestamp", "timestamp", F.lit("")).alias("timestamp"), session.alias("session_id"),
-        F.coalesce("SpanAttributes", "attributes").alias("attrs"), F.input_file_name().alias("file"))
+        one("SpanId", "span_id").alias("span_id"), one("SpanName", "name").alias("span_name"), one("Timestamp", "timestamp").alias("timestamp"),
+        F.coalesce(F.nullif(one(*SESSION_KEYS), F.lit("")), *nested, F.lit("")).alias("session_id"),
+        F.from_json(F.coalesce(F.col("s").getItem("SpanAttributes"), F.col("s").getItem("attributes")), _MAP).alias("attrs"), "file")
 
 
 def trajectory_conflicts(rows: DataFrame) -> DataFrame:
