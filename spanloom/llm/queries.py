@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from spanloom.llm.pieces import op10_pieces
+from spanloom.llm.ppm import op4_ppm
 from spanloom.llm.quality import op3_repetition
 
 QUERIES = {
     "op3_repetition": op3_repetition,
+    "op4_ppm": op4_ppm,
+    "op10_pieces": op10_pieces,
 }
 
 #: DuckDB SQL where it can say the result.
