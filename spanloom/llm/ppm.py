@@ -20,7 +20,7 @@ START, END = 0xFE, 0xFF
 #: Not a word, so it can be the end token.
 END_WORD = " "
 #: Entries a task sums up before it passes them on.
-HELD = 3_000_000
+HELD = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
                 for b in total.to_batches(100_000):
                     yield pa.RecordBatch.from_arrays([b.column("word"), pa.nulls(b.num_rows, pa.int64()), b.column("n")], names=["word", "window", "n"])
 
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", 3 << 20):
             key, n = np.unique(windows(part.column("t"), order)[0], return_counts=True)
             flat, _ = words_of(part.column("t"))
             found = pc.value_counts(pc.ascii_lower(flat))
@@ -150,42 +150,38 @@ class Lookup:
     EMPTY = -1
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.bits = max(4, (3 * len(keys) // 2).bit_length())
         size = 1 << self.bits
         self.slots = np.full(size, self.EMPTY, np.int64)
-        place, todo, step = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        self.place = np.zeros(size, np.int32)
+        self.values = values
+        todo, step = np.arange(len(keys)), 0
         while len(todo):
             at = (self._hash(keys[todo]) + step) & (size - 1)
             free = self.slots[at] == self.EMPTY
             self.slots[at[free]] = keys[todo[free]]
             got = self.slots[at] == keys[todo]
-            place[todo[got]] = at[got]
+            self.place[at[got]] = todo[got]
             todo = todo[~got]
             step += 1
-        self.values = []
-        for v in values:
-            full = np.zeros(size, np.float64)
-            full[place] = v
-            self.values.append(full)
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (keys.astype(np.uint64) >> np.uint64(29))
         return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slots of ``keys``, -1 where there is none."""
+        """Which key each of ``keys`` is, -1 where it is none."""
         at = self._hash(keys)
         out = np.full(len(keys), -1, np.int64)
-        todo = slice(None)
         here = self.slots[at]
         hit = here == keys
-        out[hit] = at[hit]
+        out[hit] = self.place[at[hit]]
         todo = np.flatnonzero(~hit & (here != self.EMPTY))
         while len(todo):
             at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
             here = self.slots[at[todo]]
             hit = here == keys[todo]
-            out[todo[hit]] = at[todo[hit]]
+            out[todo[hit]] = self.place[at[todo[hit]]]
             todo = todo[~hit & (here != self.EMPTY)]
         return out
 
@@ -240,9 +236,11 @@ class Ppm:
         out[hit] = top.values[1][slot[hit]]
         todo = np.flatnonzero(~hit)
         key = key[todo]
-        above = np.full(len(todo), -1, np.int64)  # slot of the next longer context
+        above = np.full(len(todo), -1, np.int64)  # the next longer context
         for d in range(self.order, -1, -1):
             here = self.contexts[d].find((key >> 8) & ((1 << 8 * d) - 1))
+            if not len(self.contexts[d].values[0]):
+                continue
             known = here >= 0
             sums, escape = self.contexts[d].values[0][here], self.contexts[d].values[1][here]
             after = above >= 0
