@@ -20,7 +20,7 @@ START, END = 0xFE, 0xFF
 #: Not a word, so it can be the end token.
 END_WORD = " "
 #: Entries a task sums up before it passes them on.
-HELD = 1_000_000
+HELD = 600_000
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class PpmSettings:
 
     order: int = 5
     capacity: int = 1 << 20
-    head_words: int = 1 << 19
+    head_words: int = 1 << 18
 
 
 # ---- gathering
@@ -84,7 +84,7 @@ def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
                 for b in total.to_batches(100_000):
                     yield pa.RecordBatch.from_arrays([b.column("word"), pa.nulls(b.num_rows, pa.int64()), b.column("n")], names=["word", "window", "n"])
 
-        for part in slices(batches, "t", 3 << 20):
+        for part in slices(batches, "t", 2 << 20):
             key, n = np.unique(windows(part.column("t"), order)[0], return_counts=True)
             flat, _ = words_of(part.column("t"))
             found = pc.value_counts(pc.ascii_lower(flat))
@@ -101,6 +101,7 @@ def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
                     yield from passed()
                     keys, counts, words, held = [], [], [], 0
         yield from passed()
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(work, "word string, window long, n long").groupBy("word", "window").agg(F.sum("n").alias("n"))
 
@@ -322,10 +323,11 @@ def score_texts(docs: DataFrame, learned: Column, key: str = "doc_id", text: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (depth, entry, n), known, known_n = shared.value
         if stamp not in _MODELS:
-            _MODELS.clear()
+            _MODELS.clear()  # before the new one is built: a worker holds one at a time
+            pa.default_memory_pool().release_unused()
             _MODELS[stamp] = Ppm(depth, entry, n, order)
         model, logs = _MODELS[stamp], np.log10(known_n + 0.5)
-        for part in slices(batches, "t", 3 << 20):
+        for part in slices(batches, "t", 1 << 20):
             texts = part.column("t")
             window, owner = windows(texts, order)
             score = np.bincount(owner, model.log_probabilities(window), part.num_rows)
