@@ -65,7 +65,7 @@ def codes_of(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts end to end, and the offsets where they start (one more than texts)."""
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     joined = b"".join(x.as_buffer().to_pybytes() for x in texts) if len(texts) < 64 else pc.binary_join(

@@ -182,11 +182,11 @@ def drop_copied_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     they are. Rows of the same key and text are treated alike.
     """
     gone = earlier_copies(docs, key, text, settings)
-    bits = (gone.groupBy("place", F.shiftright("nr", 5).alias("block")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("nr") % 32)).alias("bits"))
+    bits = (gone.groupBy("place", F.shiftright("nr", 5).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, nr % 32)")).alias("bits"))
             .groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("__gone")))
     t = text_or_empty(text)
     kept = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: F.coalesce(
-        F.shiftright(F.element_at("__gone", F.shiftright(i, 5)), i % 32).bitwiseAND(1), F.lit(0)) == 0), "\n")
+        F.getbit(F.element_at("__gone", F.shiftright(i, 5)), i % 32), F.lit(0)) == 0), "\n")
     joined = docs.withColumn("__place", F.xxhash64(F.col(key), t)).join(bits.withColumnRenamed("place", "__place"), "__place", "left")
     joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
     joined = joined.where(F.col("__gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from spanloom.llm.decontaminate import op2_leaks
+from spanloom.llm.jaccard import op1_jaccard
 from spanloom.llm.lines import op8_line_copies
 from spanloom.llm.pages import op7_main_text
 from spanloom.llm.pieces import op10_pieces
 from spanloom.llm.ppm import op4_ppm
 from spanloom.llm.quality import op3_repetition
+from spanloom.llm.repeats import op9_repeats
 from spanloom.llm.secrets import op6_linked_secrets
+from spanloom.llm.shards import op5_training_order
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_leaks": op2_leaks,
     "op3_repetition": op3_repetition,
     "op4_ppm": op4_ppm,
+    "op5_training_order": op5_training_order,
     "op6_linked_secrets": op6_linked_secrets,
     "op7_main_text": op7_main_text,
     "op8_line_copies": op8_line_copies,
+    "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
 }
 
