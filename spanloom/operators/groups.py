@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.functions.ordered import Sequence, quantiles
 from spanloom.functions.vectors import by_dimension, cosine_distance, euclidean, mean_vector, norm, unit
+from spanloom.session import cut_lineage
 
 # Bootstrap size and confidence; width limits of the confidence indicator.
 REPLICATES, DRAWS, CONFIDENCE = 2000, 10, 95.0
@@ -161,7 +162,6 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int =
     """Label counts of all refinement rounds per graph; a label hashes a node and its successors."""
     from functools import reduce
 
-    from spanloom.session import cut_lineage
 
     labels = nodes.select(*keys, "node", F.col("agent").alias("label"))
     rounds_ = [labels]
@@ -300,8 +300,11 @@ def centroid_outliers(vectors: DataFrame, key: str = "group_id", limit: float =
     return robust_outliers(far, [key], limit)
 
 
-def path_tokens(nodes: DataFrame, edges: DataFrame, keys: list[str], max_length: int = 4) -> DataFrame:
-    """Counts of agent paths up to a length per graph: all walks along edges, extended one hop a time."""
+def path_tokens(nodes: DataFrame, edges: DataFrame, keys: list[str], max_length: int = 10) -> DataFrame:
+    """Counts of agent paths up to a length per graph: all walks along edges, extended one hop a time.
+
+    Each length is written before it is extended, so none is worked out twice.
+    """
     from functools import reduce
 
     named = nodes.select(*keys, "node", F.replace("agent", F.lit(" "), F.lit("_")).alias("agent"))
@@ -312,6 +315,7 @@ def path_tokens(nodes: DataFrame, edges: DataFrame, keys: list[str], max_length:
         # Walks that end in the same node with the same token are counted, not listed.
         paths = paths.join(step, [*keys, "at"]).groupBy(*keys, F.col("node").alias("at"), F.concat("token", F.lit("__"), "agent").alias("token")).agg(
             F.sum("c").alias("c"))
+        paths = cut_lineage(paths)
         out.append(paths)
     return reduce(DataFrame.unionByName, out).groupBy(*keys, "token").agg(F.sum("c").alias("c"))
 

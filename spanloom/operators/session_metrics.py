@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -169,13 +170,47 @@ def workflow_efficiency(steps: DataFrame, keys: list[str], order: list[str], min
         "efficiency", F.when(F.col("total") > 0, value).otherwise(0.0))
 
 
-def count_cycles(seq: list[int]) -> int:
-    """Left to right: the shortest block of two or more steps that repeats at once is one cycle."""
-    n, i, found = len(seq), 0, 0
-    while i < n:
-        size = next((k for k in range(2, (n - i) // 2 + 1) if seq[i : i + k] == seq[i + k : i + 2 * k]), 0)
-        found += size > 0
-        i += size or 1
+def block_repeats(codes: np.ndarray) -> np.ndarray:
+    """For every position the length, two at least, of the shortest block from it that follows itself at once; else 0.
+
+    A block that repeats begins with a pair of steps that occurs again where the copy begins. So only the
+    later places of that pair are tried, nearest first, all positions at a time; two blocks are equal
+    when their hashes, differences of one running sum, are.
+    """
+    n = len(codes)
+    size = np.zeros(n, np.int64)
+    if n < 4:
+        return size
+    _, step = np.unique(codes, return_inverse=True)
+    pair = step[:-1].astype(np.int64) * n + step[1:]
+    by = np.argsort(pair, kind="stable")
+    again = np.full(n, n, np.int64)  # where the pair of a position occurs next
+    follows = pair[by[1:]] == pair[by[:-1]]
+    again[by[:-1][follows]] = by[1:][follows]
+    with np.errstate(over="ignore"):
+        base, draw = np.uint64(0x9E3779B97F4A7C15), np.random.default_rng(1).integers(1, 1 << 63, step.max() + 1, dtype=np.uint64)
+        powers = np.cumprod(np.full(n + 1, base, np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(draw[step] * powers[:n], dtype=np.uint64)])
+        at = np.arange(n)
+        there = again.copy()
+        while len(at):
+            fits = 2 * there - at <= n
+            at, there = at[fits], there[fits]
+            far = there - at
+            equal = (far > 1) & ((total[there] - total[at]) * powers[np.maximum(far - 1, 0)] == total[there + far] - total[there])
+            size[at[equal]] = far[equal]
+            at, there = at[~equal], again[there[~equal]]
+            at, there = at[there < n], there[there < n]
+    return size
+
+
+def count_cycles(codes: np.ndarray) -> int:
+    """Blocks passed over from left to right: a step moves on by the block that repeats there, else by one."""
+    size = block_repeats(np.asarray(codes))
+    found, at, starts = 0, 0, np.flatnonzero(size)
+    while (k := np.searchsorted(starts, at)) < len(starts):
+        found += 1
+        at = starts[k] + size[starts[k]]
     return found
 
 

@@ -157,15 +157,15 @@ def work_outcome(reply: Column, failed: Column) -> Column:
 def reply_flags(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """One row per flag raised, with the sentence around the first match."""
     found = F.array(*[
-        F.struct(F.lit(k).alias("flag"), F.regexp_extract(column, rf"(?s)[^.]*?(?:{p})[^.\n]*[.\n]?".replace("(?i)", ""), 0).alias("_x"),
+        F.struct(F.lit(k).alias("flag"),
                  F.regexp_instr(F.col(column), F.lit(p)).alias("at"), F.regexp_substr(F.col(column), F.lit(p)).alias("match"))
         for k, p in FLAGS.items()])
-    rows = df.select(*keys, F.col(column).alias("_body"), F.inline(F.filter(found, lambda f: f["at"] > 0))).drop("_x")
+    rows = df.select(*keys, F.col(column).alias("_body"), F.inline(F.filter(found, lambda f: f["at"] > 0)))
     head = F.substr("_body", F.lit(1), F.col("at") - 1)
     begin = F.substring_index(head, ".", -1)
     tail = F.substr("_body", F.col("at") + F.length("match"))
     end = F.regexp_extract(tail, r"^[^.\n]*[.\n]?", 0)
-    return rows.select(*keys, "flag", F.substring(F.trim(F.concat(begin, "match", end), F.lit(" \t\n\r")), 1, 400).alias("quote"))
+    return rows.select(*keys, "flag", F.trim(F.concat(begin, "match", end), F.lit(" \t\n\r")).alias("quote"))
 
 
 def repeated_calls(calls: DataFrame, keys: list[str], order: list[str], min_rows: int | None = None) -> DataFrame:

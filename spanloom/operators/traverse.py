@@ -14,7 +14,8 @@ from spanloom.session import cut_lineage
 CALL_CHAINS = {
     "agent": [], "llm": ["hasLLMCall"], "tool": ["hasToolCall"], "processing": ["hasProcessingCall"],
 }
-MAX_REFERENCES = 4096
+#: Reference vectors of one block.
+REFERENCE_ROWS = 1024
 
 
 def of_type(nodes: DataFrame, *types: str) -> DataFrame:
@@ -134,23 +135,25 @@ def leaf_groups(groups: DataFrame, group_edges: DataFrame) -> DataFrame:
     return groups.join(parents, "group_id", "left_anti")
 
 
-def closure(pairs: DataFrame, parent: str, child: str, max_hops: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def closure(pairs: DataFrame, parent: str, child: str, max_hops: int | None = None) -> DataFrame:
     """(ancestor, descendant, depth) over parent -> child pairs; shortest depth, safe on cycles.
 
-    One join per level. Each level is checkpointed, so the plan does not grow with the depth.
+    Paths are joined with paths, so a round doubles the depth reached; it ends when a round finds no
+    pair and no shorter way. Each round is checkpointed, so the plan does not grow.
     """
-    step = pairs.select(F.col(parent).alias("_p"), F.col(child).alias("_c")).distinct()
-    reached = cut_lineage(step.select(F.col("_p").alias("ancestor"), F.col("_c").alias("descendant"), F.lit(1).alias("depth")))
-    frontier, depth = reached, 1
-    while depth < (max_hops or max_rounds):
-        depth += 1
-        new = frontier.join(step, F.col("descendant") == F.col("_p")).select(
-            "ancestor", F.col("_c").alias("descendant"), F.lit(depth).alias("depth")).distinct()
-        frontier = cut_lineage(new.join(reached, ["ancestor", "descendant"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut_lineage(reached.unionByName(frontier))
-    return reached
+    reached = cut_lineage(pairs.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"), F.lit(1).alias("depth")).distinct())
+    size = lambda df: df.agg(F.count(F.lit(1)), F.sum("depth")).first()
+    known = size(reached)
+    while True:
+        far = reached.select("ancestor", F.col("descendant").alias("_m"), F.col("depth").alias("_d")).join(
+            reached.select(F.col("ancestor").alias("_m"), "descendant", "depth"), "_m").select("ancestor", "descendant", (F.col("_d") + F.col("depth")).alias("depth"))
+        if max_hops:
+            far = far.where(F.col("depth") <= max_hops)
+        reached = cut_lineage(reached.unionByName(far).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
+        now = size(reached)
+        if now == known:
+            return reached
+        known = now
 
 
 def group_members(group_edges: DataFrame, group_sessions: DataFrame) -> DataFrame:
@@ -176,13 +179,21 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: in
     return reached
 
 
-def reference_array(refs: DataFrame, key: str = "ref_id", vector: str = "vector") -> Column:
-    """A bounded set of reference vectors as one array value; more than the bound is an error."""
-    packed = refs.select(F.struct(F.col(key).alias("id"), F.col(vector).alias("v")).alias("r"))
-    checked = packed.agg(
-        F.when(F.count(F.lit(1)) <= MAX_REFERENCES, F.array_sort(F.collect_list("r")))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_REFERENCES} reference vectors"))).alias("refs"))
-    return checked.scalar()
+def reference_blocks(refs: DataFrame, keys: list[str], rows: int = REFERENCE_ROWS) -> DataFrame:
+    """Reference vectors packed into arrays of about ``rows``: (keys, block, n_blocks, refs)."""
+    sized = refs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("n_blocks")) if keys else refs.agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("n_blocks"))
+    placed = refs.join(sized, keys) if keys else refs.withColumn("n_blocks", sized.scalar())
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.col("n_blocks")).cast("int"))
+    return placed.groupBy(*keys, "block", "n_blocks").agg(F.array_sort(F.collect_list(F.struct(F.col("ref_id").alias("id"), F.col("vector").alias("v")))).alias("_refs"))
+
+
+def meet_blocks(vectors: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
+    """Every vector with every block of its references, as an equi-join on the block."""
+    packed = reference_blocks(refs, keys)
+    counts = packed.groupBy(*keys).agg(F.max("n_blocks").alias("_n")) if keys else packed.agg(F.coalesce(F.max("n_blocks"), F.lit(1)).alias("_n"))
+    spread = vectors.join(counts, keys) if keys else vectors.withColumn("_n", counts.scalar())
+    return spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).join(packed, [*keys, "block"])
 
 
 def within_radius(
@@ -190,25 +201,26 @@ def within_radius(
 ) -> DataFrame:
     """Up to ``k`` nearest rows per reference within the radius.
 
-    The references are few and sit in one array, so each vector row tests them where it lies; only
-    hits leave the map side, and the top-k is cut there too (window group limit).
+    References lie in blocks; each vector row tests a block where it meets it, only hits go on, and the
+    top-k is cut on the map side, too (window group limit).
     """
     measure = cosine_distance if metric == "cosine" else euclidean
     hits = F.filter(
         F.transform("_refs", lambda r: F.struct(r["id"].alias("ref_id"), measure(F.col("vector"), r["v"]).alias("distance"))),
         lambda h: h["distance"] <= max_distance)
-    with_refs = vectors.withColumn("_refs", reference_array(refs))
-    found = with_refs.select("session_key", F.explode(hits).alias("h")).select("session_key", "h.ref_id", "h.distance")
+    found = meet_blocks(vectors, refs, []).select("session_key", F.explode(hits).alias("h")).select("session_key", "h.ref_id", "h.distance")
     w = Window.partitionBy("ref_id").orderBy("distance", "session_key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest_reference(vectors: DataFrame, refs: DataFrame, radius: float | None = None) -> DataFrame:
-    """Nearest reference of each row within the same application, when close enough."""
-    per_app = refs.groupBy("application_id").agg(F.collect_list(F.struct(F.col("ref_id").alias("id"), F.col("vector").alias("v"))).alias("refs"))
-    best = F.array_min(F.transform("refs", lambda r: F.struct(
+    """Nearest reference of each row within the same application, when close enough.
+
+    A batch form: on a stream, call it in ``foreachBatch``.
+    """
+    best = F.array_min(F.transform("_refs", lambda r: F.struct(
         cosine_distance(F.col("vector"), r["v"]).alias("distance"), r["id"].alias("ref_id"))))
-    out = vectors.join(per_app, "application_id").select("session_key", best.alias("b")).select(
+    out = meet_blocks(vectors, refs, ["application_id"]).groupBy("session_key").agg(F.min(best).alias("b")).select(
         "session_key", "b.ref_id", "b.distance")
     return out if radius is None else out.where(F.col("distance") <= radius)
 

@@ -15,6 +15,7 @@ from spanloom.plans.metric_queries import members
 from spanloom.plans.registry import query
 from spanloom.plans.session_metric_queries import ORDER
 from spanloom.plans.traverse_queries import COS, state_embeddings
+from spanloom.session import cut_lineage
 from spanloom.sources.fixtures import oracle_define, stored, table
 
 
@@ -206,7 +207,7 @@ def _(s, d):
     return gr.centroid_outliers(vectors(s, d)).select("session_key", r6("value").alias("value"), "outlier")
 
 
-PATHS = "WITH RECURSIVE p(session_key, application_id, node, token, len) AS (SELECT session_key, application_id, node, agent, 1 FROM call_nodes UNION ALL SELECT p.session_key, p.application_id, n.node, p.token || '__' || n.agent, len + 1 FROM p JOIN call_nodes n ON n.session_key = p.session_key AND n.node = p.node + 1 WHERE len < 4), t AS (SELECT application_id, session_key, token, count(*) AS c FROM p GROUP BY 1, 2, 3)"
+PATHS = "WITH RECURSIVE p(session_key, application_id, node, token, len) AS (SELECT session_key, application_id, node, agent, 1 FROM call_nodes UNION ALL SELECT p.session_key, p.application_id, n.node, p.token || '__' || n.agent, len + 1 FROM p JOIN call_nodes n ON n.session_key = p.session_key AND n.node = p.node + 1 WHERE len < 10), t AS (SELECT application_id, session_key, token, count(*) AS c FROM p GROUP BY 1, 2, 3)"
 
 
 @query("path_tokens", "2.9.18", sql=PATHS + " SELECT session_key, token, c FROM t")
@@ -221,9 +222,9 @@ def _(s, d):
 SELECT session_key, round(value, 6) AS value, abs((value - med) / (mad / 0.6745)) > 3.5 AS outlier FROM a""")
 def _(s, d):
     nodes, edges = call_graphs(s, d)
-    tokens = gr.path_tokens(nodes, edges, ["application_id", "session_key"])
+    tokens = cut_lineage(gr.path_tokens(nodes, edges, ["application_id", "session_key"]))
     far = gr.token_distance(tokens, nodes, ["application_id"], "session_key")
-    return gr.robust_outliers(far, ["application_id"]).select("session_key", r6("value").alias("value"), "outlier")
+    return gr.robust_outliers(cut_lineage(far), ["application_id"]).select("session_key", r6("value").alias("value"), "outlier")
 
 
 # -- normal behaviour -----------------------------------------------------------------------

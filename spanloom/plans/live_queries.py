@@ -55,7 +55,7 @@ def _(s, d):
 
 
 @query("orphan_completions", "2.11.3", sql=f"""
-SELECT session_key, event_name, TRUE AS synthetic FROM (SELECT o.session_key, 'topology.session.completed' AS event_name, o.last_activity FROM ({ORPHANS}) o WHERE o.session_key NOT IN (SELECT session_key FROM topology WHERE ts >= (SELECT max(ts) FROM topology) - INTERVAL 300 SECOND) ORDER BY last_activity DESC, session_key LIMIT 25)""")
+SELECT session_key, event_name, TRUE AS synthetic FROM (SELECT o.session_key, 'topology.session.completed' AS event_name, o.last_activity FROM ({ORPHANS}) o WHERE o.session_key NOT IN (SELECT session_key FROM topology WHERE ts >= (SELECT max(ts) FROM topology) - INTERVAL 300 SECOND))""")
 def _(s, d):
     t = table(s, d, "topology")
     now = t.agg(F.max("ts")).scalar()
@@ -126,12 +126,25 @@ def _(s, d):
     return jobs.handoff_edges(table(s, d, "topology"))
 
 
-@query("topology_tool_edges", "2.11.6")
+# The stack of running agents, event by event: a start is put on top, an end takes the topmost equal one away.
+TOOL_EDGES = """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY ts, event_id) AS rn FROM topology WHERE event_name IN ('topology.node.started', 'topology.node.completed', 'tool.started')),
+ r(session_key, rn, stack, owner, tool) AS (SELECT DISTINCT session_key, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM e UNION ALL
+  SELECT r.session_key, e.rn,
+   CASE WHEN e.event_name = 'topology.node.started' AND e.agent <> '' THEN list_append(stack, e.agent)
+    WHEN e.event_name = 'topology.node.completed' AND list_contains(stack, e.agent) THEN
+     list_concat(stack[1:len(stack) - list_position(list_reverse(stack), e.agent)], stack[len(stack) - list_position(list_reverse(stack), e.agent) + 2:]) ELSE stack END,
+   CASE WHEN e.event_name = 'tool.started' AND e.tool <> '' AND len(stack) > 0 THEN stack[len(stack)] END, e.tool
+  FROM r JOIN e ON e.session_key = r.session_key AND e.rn = r.rn + 1)
+SELECT DISTINCT session_key, owner AS agent, tool FROM r WHERE owner IS NOT NULL"""
+
+
+@query("topology_tool_edges", "2.11.6", sql=TOOL_EDGES)
 def _(s, d):
     return jobs.tool_edges(table(s, d, "topology"))
 
 
-@query("topology_tool_edges_stream", "2.11.6")
+@query("topology_tool_edges_stream", "2.11.6", sql=TOOL_EDGES)
 def _(s, d):
     return jobs.run_available(jobs.live_tool_edges(as_stream(s, d, "topology")), "append").distinct()
 
@@ -169,8 +182,8 @@ def _(s, d):
     table_ = spans(s, d)
     folder = table_.inputFiles()[0].rsplit("/", 1)[0]
     out = f"{shared_folder(s)}/feed-{uuid.uuid4().hex}"
-    jobs.on_completed(jobs.stream_files(s, folder, "*.parquet", table_.schema), lambda done: done.write.mode("append").parquet(out))
-    return s.read.parquet(out).distinct()
+    jobs.on_completed(jobs.stream_files(s, folder, "*.parquet", table_.schema), lambda done, n: done.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return s.read.parquet(out).drop("batch").distinct()
 
 
 # Old sessions are the even vectors, arriving ones the odd vectors of the same file.
@@ -189,7 +202,7 @@ def attach(s, d, stream):
     if stream:
         raw = jobs.stream_files(s, d, "embeddings.parquet", table(s, d, "embeddings").schema)
         new = raw.where("vec_id % 2 = 1").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("session_key"), F.col("embedding").alias("vector"), F.lit("a").alias("application_id"))
-        hits = jobs.run_available(jobs.nearest_groups(new, refs, 0.9))
+        hits = jobs.nearest_groups(new, refs, 0.9)
     else:
         hits = jobs.nearest_groups(v.where("vec_id % 2 = 1").drop("group_id"), refs, 0.9)
     # One group has changed meanwhile: its expected hash no longer matches.

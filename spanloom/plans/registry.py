@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.session import ship_package
 from spanloom.sources.fixtures import oracle_with
 
 
@@ -32,7 +33,12 @@ def query(name: str, *lines: str, sql: str | None = None):
     def wrap(fn):
         if name in ENTRIES:
             raise ValueError(f"query {name} is registered twice")
-        ENTRIES[name] = Entry(name, lines, fn, sql)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        ENTRIES[name] = Entry(name, lines, run, sql)
         return fn
 
     return wrap

@@ -149,7 +149,12 @@ def _(s, d):
     return sm.workflow_efficiency(signed_steps(s, d), ["session_key"], ORDER).withColumn("efficiency", r6("efficiency"))
 
 
-@query("cycle_counts", "2.7.15")
+@query("cycle_counts", "2.7.15", sql=f"""
+WITH RECURSIVE s AS (SELECT session_key, list(agent ORDER BY {', '.join(ORDER)}) AS q FROM calls WHERE coalesce(agent, '') <> '' GROUP BY 1),
+ r(session_key, q, i, k, found) AS (SELECT session_key, q, CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM s UNION ALL
+  SELECT session_key, q, i + greatest(b, 1), b, found + CASE WHEN b > 0 THEN 1 ELSE 0 END FROM (
+   SELECT *, coalesce(list_filter(range(2, (len(q) - i + 1) // 2 + 1), lambda z: q[i:i + z - 1] = q[i + z:i + 2 * z - 1])[1], 0) AS b FROM r WHERE i <= len(q)) x)
+SELECT session_key, max(found) AS cycles FROM r GROUP BY 1""")
 def _(s, d):
     return sm.cycles(table(s, d, "calls"), ["session_key"], ORDER)
 

@@ -78,22 +78,34 @@ def _(s, d):
 # -- upserts --------------------------------------------------------------------------------
 
 
+def saved_graph(s, d):
+    """The graph saved in two batches: all of it but transitions under other names, then all nodes but sessions w0.
+
+    Both versions go through the store; the sessions of the second batch are replaced.
+    """
+    nodes, edges = graph(s, d)
+    at = scratch(s, "graph")
+    first = nodes.where("node_type <> 'Transition'").withColumn("name", F.lit("kept"))
+    store = lambda n, e: (sk.save(n, f"{at}/nodes"), sk.save(e, f"{at}/edges"))
+    store(*sk.upsert_graph((nodes.limit(0), edges.limit(0)), (first, edges)))
+    second = nodes.where("NOT (node_type = 'Session' AND id LIKE '%w0')").withColumn("name", F.when(F.col("node_type") == "Session", "new"))
+    stored_ = sk.load(s, f"{at}/nodes"), sk.load(s, f"{at}/edges")
+    store(*sk.upsert_graph(stored_, (second, edges.where("edge_type <> 'usesTool'"))))
+    return sk.load(s, f"{at}/nodes"), sk.load(s, f"{at}/edges")
+
+
 @query("graph_upsert_nodes", "2.1.5", sql="""
-SELECT node_type, id, CASE WHEN node_type = 'Session' THEN 'new' WHEN node_type = 'Tool' THEN 'kept' ELSE '' END AS name FROM g_nodes WHERE node_type IN ('Session', 'Tool', 'MAS')""")
+SELECT node_type, id, CASE WHEN node_type = 'Transition' THEN '' WHEN node_type = 'Session' AND id NOT LIKE '%w0' THEN 'new' ELSE 'kept' END AS name FROM g_nodes""")
 def _(s, d):
-    nodes, edges = graph(s, d)
-    old = nodes.where("node_type IN ('Session', 'Tool')").withColumn("name", F.lit("kept"))
-    new = nodes.where("node_type IN ('Session', 'Tool', 'MAS')").withColumn("name", F.when(F.col("node_type") == "Session", "new"))
-    out, _ = sk.upsert_graph((old, edges.limit(0)), (new, edges))
-    return out.select("node_type", "id", F.coalesce("name", F.lit("")).alias("name"))
+    return saved_graph(s, d)[0].select("node_type", "id", F.coalesce("name", F.lit("")).alias("name"))
 
 
-@query("graph_upsert_edges", "2.1.5", sql="SELECT edge_type, from_id, to_id FROM g_edges WHERE edge_type IN ('executesSession', 'usesTool') AND (edge_type = 'usesTool' OR from_id NOT LIKE '%w0')")
+@query("graph_upsert_edges", "2.1.5", sql="""
+WITH n AS (SELECT id FROM g_nodes WHERE node_type <> 'Transition'), m AS (SELECT id FROM g_nodes WHERE NOT (node_type = 'Session' AND id LIKE '%w0'))
+SELECT edge_type, from_id, to_id FROM g_edges WHERE from_id IN (SELECT id FROM n) AND to_id IN (SELECT id FROM n)
+UNION SELECT edge_type, from_id, to_id FROM g_edges WHERE edge_type <> 'usesTool' AND from_id IN (SELECT id FROM m) AND to_id IN (SELECT id FROM m)""")
 def _(s, d):
-    nodes, edges = graph(s, d)
-    old = edges.where("edge_type = 'usesTool'")
-    batch = nodes.where("node_type IN ('Session', 'MAS') AND (node_type = 'MAS' OR id NOT LIKE '%w0')")
-    return sk.upsert_graph((nodes.limit(0), old), (batch, edges))[1]
+    return saved_graph(s, d)[1]
 
 
 @query("metric_result_upsert", "2.1.6", sql="""
@@ -122,7 +134,9 @@ def _(s, d):
     return sk.report_rows(table(s, d, "reports"), table(s, d, "groups"))[1]
 
 
-@query("semantic_group_upsert", "2.1.10")
+@query("semantic_group_upsert", "2.1.10", sql="""
+SELECT group_id, (SELECT count(DISTINCT session_key) FROM group_sessions l WHERE l.group_id = g.group_id AND (NOT ends_with(g.group_id, '_g1') OR session_key LIKE '%w1')) AS n_links
+FROM groups g WHERE NOT ends_with(group_id, '_g0')""")
 def _(s, d):
     g = table(s, d, "groups")
     links = table(s, d, "group_sessions").select("group_id", F.col("session_key").alias("target"))

@@ -304,6 +304,11 @@ def stored(spark: SparkSession, d: str, name: str, make) -> DataFrame:
     return _STORED[key]
 
 
+def forget() -> None:
+    """Write derived tables anew when they are next asked for."""
+    _STORED.clear()
+
+
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """The span table in its canonical shape."""
     return stored(spark, d, "spans", lambda: derive_spans(spark, d))

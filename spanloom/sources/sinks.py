@@ -1,15 +1,16 @@
 """Upserts as merges of the stored table with a batch; the result replaces the table.
 
 A merge is one aggregation over the union of both sides, where a batch row outranks a stored one,
-so neither side is broadcast or looked up row by row. ``save`` writes a new version of a table and
-is meant for a single writer.
+so neither side is broadcast or looked up row by row. ``save`` writes the result as a new version of
+the table and is meant for a single writer.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.functions.scalar import digest, short_id
 
@@ -35,10 +36,30 @@ def remove(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return stored.join(keys.distinct(), keys.columns, "left_anti")
 
 
-def save(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Replace only the partitions present in ``df``."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def save(df: DataFrame, path: str) -> int:
+    """Write ``df`` as the next version of the table at ``path``; the number of the version.
+
+    The version counts once it is in the log, which is written last: a reader sees the old table or the new
+    one, a row that is gone from ``df`` is gone from the table, and a write that failed leaves nothing
+    but an unlisted folder. Older versions stay readable.
+    """
+    version = (latest(df.sparkSession, path) or 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    df.sparkSession.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{path}/log")
+    return version
+
+
+def latest(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest version, None where there is no table yet."""
+    try:
+        return spark.read.schema("version int").parquet(f"{path}/log").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version of a saved table, or the one asked for."""
+    return spark.read.parquet(f"{path}/v{version or latest(spark, path)}")
 
 
 def export(df: DataFrame, path: str, layout: str = "json") -> None:

@@ -21,7 +21,7 @@ SESSION_STARTED, SESSION_COMPLETED = "topology.session.started", "topology.sessi
 NODE_STARTED, NODE_COMPLETED = "topology.node.started", "topology.node.completed"
 TOOL_STARTED, TOOL_COMPLETED, EDGE_UPDATED = "tool.started", "tool.completed", "topology.edge.updated"
 # When a session is an orphan.
-ORPHAN_IDLE, ORPHAN_DEDUPE, ORPHANS_PER_CALL = "5 minutes", "300 seconds", 25
+ORPHAN_IDLE, ORPHAN_DEDUPE = "5 minutes", "300 seconds"
 
 
 def stream_files(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -40,13 +40,14 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable | None
     schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+        # a batch that is tried again replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "append" else out)
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).foreachBatch(each or keep).start())
     query.awaitTermination()
-    return None if each else spark.read.schema(schema).parquet(out)
+    return None if each else spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 # -- sessions, agents, tools ----------------------------------------------------------------
@@ -70,10 +71,12 @@ def orphan_sessions(events: DataFrame, now: Column, limit: int | None = None) ->
     return found if limit is None else found.limit(limit)
 
 
-def orphan_completions(orphans: DataFrame, emitted: DataFrame, now: Column) -> DataFrame:
-    """Synthetic completions for orphans not already closed within the last five minutes."""
+def orphan_completions(orphans: DataFrame, emitted: DataFrame, now: Column, page: int | None = None) -> DataFrame:
+    """Synthetic completions for orphans not already closed within the last five minutes; all, or a caller's page."""
     recent = emitted.where(F.col("emitted_at") >= now - F.expr(f"INTERVAL {ORPHAN_DEDUPE}")).select("session_key").distinct()
-    fresh = orphans.join(recent, "session_key", "left_anti").orderBy(F.desc("last_activity"), "session_key").limit(ORPHANS_PER_CALL)
+    fresh = orphans.join(recent, "session_key", "left_anti")
+    if page is not None:
+        fresh = fresh.orderBy(F.desc("last_activity"), "session_key").limit(page)
     return fresh.select("session_key", F.lit(SESSION_COMPLETED).alias("event_name"), now.alias("emitted_at"), F.lit(True).alias("synthetic"))
 
 
@@ -192,17 +195,14 @@ def tool_edges(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(scan, "session_key string, agent string, tool string").distinct()
 
 
-def live_tool_edges(stream: DataFrame, idle_ms: int = 300_000, delay: str = "1 minute") -> DataFrame:
+def live_tool_edges(stream: DataFrame) -> DataFrame:
     """The same fold as a stateful stream: the state per session is its stack and the edges already sent.
 
-    The state of a session idle for ``idle_ms`` of event time is dropped.
+    A session keeps its state, however long it is idle, until an event completes it. Events of a session
+    are folded in time order within a micro-batch; a source that delivers them out of order over
+    batches has to be ordered before.
     """
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         stack, sent = state.get if state.exists else ([], [])
         stack, sent, new = list(stack), set(sent), []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
@@ -211,14 +211,16 @@ def live_tool_edges(stream: DataFrame, idle_ms: int = 300_000, delay: str = "1 m
             if top is not None and f"{top}\x1f{tool}" not in sent:
                 sent.add(f"{top}\x1f{tool}")
                 new.append((key[0], top, tool))
-        state.update((stack, sorted(sent)))
-        seen = int(rows["ts"].max().timestamp() * 1000) + idle_ms
-        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs() + 1))
+        if rows["event_name"].iloc[-1] == SESSION_COMPLETED:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((stack, sorted(sent)))
         yield pd.DataFrame(new, columns=["session_key", "agent", "tool"])
 
     return stream.groupBy("session_key").applyInPandasWithState(
         step, "session_key string, agent string, tool string", "stack array<string>, sent array<string>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        GroupStateTimeout.NoTimeout)
 
 
 # -- spans and metrics ----------------------------------------------------------------------
@@ -244,12 +246,12 @@ def completed_sessions(spans: DataFrame) -> DataFrame:
     return spans.where("span_name = 'session.end' AND session_id <> ''").select("session_id", "application_id").distinct()
 
 
-def on_completed(stream: DataFrame, job: Callable[[DataFrame], None]) -> None:
-    """Run a batch job on the sessions each micro-batch completes."""
+def on_completed(stream: DataFrame, job: Callable[[DataFrame, int], None]) -> None:
+    """Run a batch job on the sessions each micro-batch completes; the number of a batch that is retried is the same."""
     def each(batch: DataFrame, number: int) -> None:
         done = completed_sessions(batch)
         if not done.isEmpty():
-            job(done)
+            job(done, number)
 
     run_available(stream, each=each)
 
@@ -268,8 +270,16 @@ def attach_sessions(members: DataFrame, hashes: DataFrame, requests: DataFrame)
     return members.select("group_id", "session_key").unionByName(added).distinct(), checked.where("NOT _ok").select("group_id", "session_key")
 
 
-def nearest_groups(stream: DataFrame, medoids: DataFrame, radius: float) -> DataFrame:
-    """Nearest medoid of the session's application for each arriving vector (stream-static join)."""
+def nearest_groups(vectors: DataFrame, medoids: DataFrame, radius: float) -> DataFrame:
+    """Nearest medoid of the session's application for each vector; of a stream, batch by batch."""
     from spanloom.operators.traverse import nearest_reference
 
-    return nearest_reference(stream, medoids, radius)
+    if not vectors.isStreaming:
+        return nearest_reference(vectors, medoids, radius)
+    out = f"{shared_folder(vectors.sparkSession)}/nearest-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        nearest_reference(batch, medoids, radius).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run_available(vectors, each=each)
+    return vectors.sparkSession.read.option("recursiveFileLookup", "true").parquet(out)
