@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import codes_of, slices, table, text_or_empty, words_of
@@ -272,22 +272,25 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings = JaccardSettings()) -> DataFrame:
-    """``key, n_shingles long, component_id, v long`` of every row: its set's size, its component, its set's hash.
+    """``key, n_shingles long, component_id`` of every row: its set's size and its component.
+
+    For joins with the rows themselves also ``v`` and ``root``, the hash of its set and the least one of its
+    component, and ``place``, the hash of its key and text.
 
     ``component_id`` is the smallest key reachable over links, its own included. Null, empty and blank
     texts have no set (``v`` null) and link with nothing; equal sets share ``v``. Sets are compared as 64-bit
     hashes of their shingles. A null key takes part, but names no component that has another key.
     Repeated rows keep rows of their own; other columns are not carried. An empty table gives no rows.
     """
-    base = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
+    base = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), _place(key, text).alias("p"))
     kind, words, percent = docs.schema[key].dataType.simpleString(), settings.words, settings.percent
 
     def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets, sizes = shingle_sets(part.column("t"), words)
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes), _hashes(sets, sizes)], names=["k", "n", "v"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes), _hashes(sets, sizes)], names=["k", "n", "v"]).append_column("p", part.column("p"))
 
-    known = written(base.mapInArrow(sizes_of, f"k {kind}, n long, v long"), "jaccard-sizes")
+    known = written(base.mapInArrow(sizes_of, f"k {kind}, n long, v long, p long"), "jaccard-sizes")
     largest = known.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     bands = Plan(largest, percent)
     counted = known.groupBy("n").agg(F.count("*").alias("c"))
@@ -306,8 +309,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     met = written(shared_keys(base.select("t").mapInArrow(indexed, "key long, v long")), "jaccard-keys")
     wanted = met.select("v").distinct()
     # a text for each set that shares a key; equal sets have the same one
-    chosen = known.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("k").alias("k"))
-    some = base.join(chosen.select("k").distinct(), base["k"].eqNullSafe(chosen["k"]), "left_semi")
+    chosen = known.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("p").alias("p"))
+    some = base.join(chosen, "p", "left_semi")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -369,9 +372,26 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         root = connected(links.unionByName(more))
     least = known.where("v IS NOT NULL").groupBy("v").agg(F.min("k").alias("k"))
     named = least.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    component = named.join(named.groupBy("root").agg(F.min("k").alias("component_id")), "root").select("v", "component_id")
+    component = named.join(named.groupBy("root").agg(F.min("k").alias("component_id")), "root").select("v", "root", "component_id")
     return known.join(component, "v", "left").select(
-        F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("v").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"), "v")
+        F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("v").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"),
+        "v", "root", F.col("p").alias("place"))
+
+
+def _place(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), text_or_empty(text))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings = JaccardSettings(5, 80)) -> DataFrame:
+    """``docs`` with one row of each component, all columns: the smallest key, then the least hash of key and text.
+
+    Rows without words stay, all of them. Of rows alike in key and text one stays.
+    """
+    classes = jaccard_classes(docs, key, text, settings).where("v IS NOT NULL")
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), "place")).alias("first")).select(F.col("first.place").alias("__place"))
+    some = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(some).withColumn("__place", _place(key, text)).join(first, "__place", "left_semi").dropDuplicates(["__place"])
+    return kept.select(*docs.columns).unionByName(docs.where(~some))
 
 
 def _hashes(sets: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -385,4 +405,4 @@ def _hashes(sets: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles share nine tenths."""
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("v")
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("v", "root", "place")

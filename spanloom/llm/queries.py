@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from spanloom.llm.decontaminate import op2_leaks
 from spanloom.llm.jaccard import op1_jaccard
 from spanloom.llm.lines import op8_line_copies
@@ -12,8 +16,9 @@ from spanloom.llm.quality import op3_repetition
 from spanloom.llm.repeats import op9_repeats
 from spanloom.llm.secrets import op6_linked_secrets
 from spanloom.llm.shards import op5_training_order
+from spanloom.session import ship_package
 
-QUERIES = {
+_BY_NAME = {
     "op1_jaccard": op1_jaccard,
     "op2_leaks": op2_leaks,
     "op3_repetition": op3_repetition,
@@ -26,5 +31,17 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in _BY_NAME.items()}
+
 #: DuckDB SQL where it can say the result.
 SQL: dict[str, str] = {}
