@@ -180,14 +180,12 @@ def cells_of(plan: Plan, sets: np.ndarray, sizes: np.ndarray) -> list[list[bytes
 _DIFFERENT = np.array([(x >> 4 > 0) + (x & 15 > 0) for x in range(256)], np.uint8)
 
 
-def near_pairs(plan: Plan, vertex: np.ndarray, size: np.ndarray, cells: np.ndarray, root: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs of one group that may link. Without roots a forest of them, likeliest first; else all between different roots."""
+def near_pairs(plan: Plan, vertex: np.ndarray, size: np.ndarray, cells: np.ndarray, root: np.ndarray, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of one group, of different roots, that may link; all, or a forest of them over the roots, likeliest first."""
     found = []
     for i in range(len(vertex) - 1):
         other = slice(i + 1, None)
-        ok = (vertex[other] != vertex[i]) & (100 * np.minimum(size[other], size[i]) >= plan.percent * np.maximum(size[other], size[i]))
-        if root is not None:
-            ok &= root[other] != root[i]
+        ok = (root[other] != root[i]) & (100 * np.minimum(size[other], size[i]) >= plan.percent * np.maximum(size[other], size[i]))
         j = np.flatnonzero(ok) + i + 1
         if len(j):
             apart = _DIFFERENT[cells[j] ^ cells[i]].sum(1, dtype=np.int64)
@@ -196,17 +194,18 @@ def near_pairs(plan: Plan, vertex: np.ndarray, size: np.ndarray, cells: np.ndarr
     if not found:
         return []
     apart, i, j = np.concatenate(found, axis=1)
-    if root is None:
-        tree, kept = list(range(len(vertex))), []
-        for k in np.argsort(apart, kind="stable"):
-            a, b = int(i[k]), int(j[k])
-            for end in (a, b):
-                while tree[end] != tree[tree[end]]:
-                    tree[end] = tree[tree[end]]
-            while tree[a] != a:
-                a = tree[a]
-            while tree[b] != b:
-                b = tree[b]
+    if forest:
+        _, tree_of = np.unique(root, return_inverse=True)
+        tree, kept = list(range(int(tree_of.max()) + 1)), []
+
+        def top(x: int) -> int:
+            while tree[x] != x:
+                tree[x] = tree[tree[x]]
+                x = tree[x]
+            return x
+
+        for k in np.argsort(apart, kind="stable").tolist():
+            a, b = top(int(tree_of[i[k]])), top(int(tree_of[j[k]]))
             if a != b:
                 tree[max(a, b)] = min(a, b)
                 kept.append(k)
@@ -325,29 +324,29 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
                    .join(wanted, "v", "left_semi").dropDuplicates(["v"]), "jaccard-sets")
 
     band_of = F.shiftrightunsigned("key", 56)
-    rows = met.join(sets.select("v", "n", "band", "own", "below"), "v").select(
-        "key", "v", "n", F.when(F.col("band") == band_of, F.col("own")).otherwise(F.col("below")).alias("cells"))
-    long_ = met.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    dealt = rows.join(long_, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "v", "n", "cells")
-
-    def candidates(root: DataFrame | None) -> DataFrame:
-        rooted = root is not None
 
+    def mixed_rows(root: DataFrame) -> DataFrame:
+        """Rows of keys that still have sets of different components, dealt out in groups, with their cells."""
+        rooted = met.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        open_ = (rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+                 .where("low < high").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+        rows = rooted.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.join(sets.select("v", "n", "band", "own", "below"), "v")
+        return rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "v", "n", "root",
+                           F.when(F.col("band") == band_of, F.col("own")).otherwise(F.col("below")).alias("cells"))
+
+    def candidates(root: DataFrame, forest: bool) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = [], []
             for run in _runs(batches, ["key", "low", "high"]):
-                if run.num_rows < 2:
+                roots = run.column("root").to_numpy()
+                if (roots == roots[0]).all():
                     continue
                 cells = run.column("cells").to_pylist()
                 width = max(map(len, cells))
                 table_ = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in cells), np.uint8).reshape(len(cells), width)
-                roots = run.column("root").to_numpy() if rooted else None
-                if roots is not None and (roots == roots[0]).all():
-                    continue
-                for x, y in near_pairs(plan, run.column("v").to_numpy(), run.column("n").to_numpy(), table_, roots):
+                for x, y in near_pairs(plan, run.column("v").to_numpy(), run.column("n").to_numpy(), table_, roots, forest):
                     a.append(min(x, y))
                     b.append(max(x, y))
                 if len(a) > 50_000:
@@ -355,21 +354,25 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
                     a, b = [], []
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        source = dealt if not rooted else dealt.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        return (source.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        return (mixed_rows(root).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
                 .mapInArrow(work, "a long, b long").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         sized = sets.select("v", "n", "s")
         joined = (pairs.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        return written(joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "jaccard-links")
 
-    links = written(verified(candidates(None)), "jaccard-links")
+    # each set with the least of each of its keys: enough for most groups of copies
+    least_of = met.groupBy("key").agg(F.min("v").alias("a"))
+    links = verified(met.join(least_of, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct())
     root = connected(links)
-    more = written(verified(candidates(root)), "jaccard-links")  # all pairs that are left, in different components
-    if not more.isEmpty():
-        root = connected(links.unionByName(more))
+    # keys with several components: the likeliest pairs between them, a forest for each key, and then all that are left
+    for forest in (True, False):
+        more = verified(candidates(root, forest))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            root = connected(links)
     least = known.where("v IS NOT NULL").groupBy("v").agg(F.min("k").alias("k"))
     named = least.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
     component = named.join(named.groupBy("root").agg(F.min("k").alias("component_id")), "root").select("v", "root", "component_id")
