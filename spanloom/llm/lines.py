@@ -14,6 +14,9 @@ from spanloom.session import written
 COUNTED = "etaoinsrhldcumfg"
 
 
+ID = ["doc", "place", "nr"]
+
+
 @dataclass(frozen=True)
 class LineSettings:
     """``edits``: most edits between copies. Lines from ``near_chars`` characters on are compared so,
@@ -25,32 +28,36 @@ class LineSettings:
     near_chars: int = 30
 
 
-def segment(length: Column, i: int, count: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of ``count`` nearly equal ones; the longer ones come last."""
-    short, longer = F.floor(length / count), length % count
-    before = F.greatest(F.lit(0), F.lit(i - count) + longer)
-    return (short * i + before).cast("int"), (short + (F.lit(i) >= F.lit(count) - longer).cast("int")).cast("int")
-
-
-def probes(line: Column, length: Column, edits: int) -> Column:
-    """Keys of a line: ``key`` and whether it is an ``own`` segment, by which other lines find it.
+def probe_list(edits: int, own_only: bool = False) -> Column:
+    """What a line looks up, as a constant array: for which length of the other line (``delta`` less than its own),
+    which segment of it, and how far from the segment's place there; ``own`` marks its own segments.
 
     A line within ``edits`` of another holds at least one of the other's ``edits`` + 1 segments. Of its
-    substrings only those are looked up which can match when segment i has at most i edits before it
-    and ``edits`` - i after it, for every length that the other can have.
+    substrings only those can match which leave segment i at most i edits before it and ``edits`` - i
+    after it. Segment -1 is the whole line.
     """
-    out = []
-    for delta in range(-edits, edits + 1):  # this line's length less the other's
-        other = length - delta
+    out = [(0, -1, 0, True)]
+    for delta in range(-edits, edits + 1):
         for i in range(edits + 1):
-            start, size = segment(other, i, edits + 1)
             for shift in range(-edits, edits + 1):
                 if abs(shift) <= i and abs(shift - delta) <= edits - i:
-                    at = start + shift
-                    inside = (at >= 0) & (at + size <= length)
-                    out.append(F.when(inside, F.struct(
-                        F.xxhash64(other, F.lit(i), line.substr(at + 1, size)).alias("key"), F.lit(delta == 0 and shift == 0).alias("own"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                    out.append((delta, i, shift, delta == 0 and shift == 0))
+    return F.array(*(F.struct(F.lit(d).alias("delta"), F.lit(i).alias("segment"), F.lit(x).alias("shift"), F.lit(o).alias("own"))
+                     for d, i, x, o in out if o or not own_only))
+
+
+def keyed(lines: DataFrame, settings: LineSettings, own_only: bool = False) -> DataFrame:
+    """A row ``key, own`` for each thing a line looks up; segments are nearly equal, the longer ones come last."""
+    count = settings.edits + 1
+    c = F.col
+    rows = lines.select("*", F.inline(probe_list(settings.edits, own_only))).withColumn("other", c("size") - c("delta"))
+    rows = rows.withColumns({"short": F.expr(f"CAST(other DIV {count} AS INT)"), "longer": c("other") % count})
+    rows = rows.withColumns({
+        "at": c("short") * c("segment") + F.greatest(F.lit(0), c("segment") - count + c("longer")) + c("shift"),
+        "width": c("short") + F.when(c("segment") >= F.lit(count) - c("longer"), 1).otherwise(0)})
+    rows = rows.where((c("segment") < 0) | (c("size") >= settings.near_chars) & (c("at") >= 0) & (c("at") + c("width") <= c("size")))
+    key = F.when(c("segment") < 0, F.xxhash64(c("segment"), c("hash"))).otherwise(F.xxhash64("other", "segment", c("line").substr(c("at") + 1, c("width"))))
+    return rows.select(*ID, "hash", key.alias("key"), "own")
 
 
 def letter_counts(line: Column) -> Column:
@@ -111,68 +118,48 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), t).alias("place"), F.posexplode(F.split(t, "\n"))).toDF("doc", "place", "nr", "line")
 
 
-ID = ["doc", "place", "nr"]
-
-
 def earlier_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: LineSettings = LineSettings()) -> DataFrame:
     """Lines that have an earlier copy: ``doc, place, nr`` and the copy's ``of_doc, of_place, of_nr``, ``edits``.
 
     Earlier is by key (nulls first), then hash of the text, then line number; an earlier copy counts
     even if it has an earlier copy itself. Each line is first held against the earliest line of each of
     its keys, found by a partial aggregate. Only lines that are no copy of these are joined with all
-    lines of the key, with the letter counts in the join condition, so that a group of copies costs no
-    pairs and a segment in many lines few.
+    lines of the key, with letter counts in the join condition, so that a group of copies costs no
+    pairs and a segment in many lines few. A line equal to an earlier one needs no text any more.
     """
     t = settings.edits
     lines = lines_of(docs, key, text)
-    size = F.length("line")
-    signed = (lines.where(size >= settings.least_chars)
-              .withColumns({"size": size, "hash": F.xxhash64("line"), "letters": letter_counts(F.col("line"))})
-              .withColumn("keys", F.concat(F.array(F.struct(F.xxhash64(F.lit(-1), F.col("line")).alias("key"), F.lit(True).alias("own"))),
-                                           F.when(F.col("size") >= settings.near_chars, probes(F.col("line"), F.col("size"), t))
-                                           .otherwise(F.array().cast("array<struct<key: bigint, own: boolean>>")))))
-    rows = signed.select(*ID, "hash", "letters", F.inline("keys"))
-    me = F.struct(*ID, "hash", "letters")
-    own = rows.where("own")
-    first = own.groupBy("key").agg(F.min(me).alias("first"), F.count("*").alias("n"))
-    near = F.bit_count(F.col("letters").bitwiseXOR(F.col("first.letters"))) <= 2 * t
+    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= settings.least_chars).withColumn("hash", F.xxhash64("line"))
+    me, other = F.struct(*ID), F.struct("first.doc", "first.place", "first.nr")
+    first = keyed(sized, settings, True).groupBy("key").agg(F.min(F.struct(*ID, "hash")).alias("first"), F.count("*").alias("n"))
     # only lines in a key with an earlier line: few of all
-    met = written(rows.join(first, "key").where(F.struct(*ID) > F.struct("first.doc", "first.place", "first.nr"))
-                  .withColumn("likely", (F.col("hash") == F.col("first.hash")) | near), "line-matches")
-    likely = met.where("likely").groupBy(*ID, "hash", "letters").agg(F.min(F.col("first")).alias("of"), F.min(F.when(F.col("hash") == F.col("first.hash"), F.col("first"))).alias("same"))
-    sure = likely.where("same IS NOT NULL").select(*ID, F.col("same").alias("of"), F.lit(0).alias("edits"))
-    guessed = met.where("likely").join(sure.select("place", "nr"), ["place", "nr"], "left_anti").select(*ID, "first").distinct()
-
-    def all_of(some: DataFrame) -> DataFrame:
-        """Every earlier line of a shared key that may be near."""
-        left = met.where("n > 1").join(some.select("place", "nr").distinct(), ["place", "nr"], "left_semi").select(
-            "key", *ID, "letters", F.col("first.place").alias("fp"), F.col("first.nr").alias("fn"))
-        right = own.select("key", me.alias("first"))
-        close = F.bit_count(F.col("letters").bitwiseXOR(F.col("first.letters"))) <= 2 * t
-        return left.join(right, "key").where(
-            close & (F.struct(*ID) > F.struct("first.doc", "first.place", "first.nr")) & ~((F.col("fp") == F.col("first.place")) & (F.col("fn") == F.col("first.nr")))
-        ).select(*ID, "first").distinct()
+    met = written(keyed(sized, settings).join(first, "key").where(me > other), "line-matches")
+    sure = (met.where(F.col("hash") == F.col("first.hash")).groupBy(*ID).agg(F.min(F.struct(F.lit(0).alias("edits"), "first")).alias("best")))
+    # a line equal to an earlier one stands for nothing that the earlier one doesn't
+    open_ = written(met.join(sure.select("place", "nr"), ["place", "nr"], "left_anti"), "line-open")
+    ends = F.array(F.struct("place", "nr"), F.struct(F.col("first.place").alias("place"), F.col("first.nr").alias("nr")))
+    wanted = open_.select(F.inline(ends)).distinct()
+    texts = written(lines.select("place", "nr", "line").join(wanted, ["place", "nr"]).dropDuplicates(["place", "nr"])
+                    .withColumn("letters", letter_counts(F.col("line"))), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        wanted = pairs.select("place", "nr").unionByName(pairs.select(F.col("first.place").alias("place"), F.col("first.nr").alias("nr"))).distinct()
-        texts = lines.select("place", "nr", "line").join(wanted, ["place", "nr"]).dropDuplicates(["place", "nr"])
-        texts = written(texts, "line-texts")
         chars = lambda c: F.split(F.col(c), "")
+        both = (pairs.join(texts.select("place", "nr", F.col("line").alias("mine"), F.col("letters").alias("l1")), ["place", "nr"])
+                .join(texts.select(F.col("place").alias("fp"), F.col("nr").alias("fn"), F.col("line").alias("theirs"), F.col("letters").alias("l2")),
+                      (F.col("first.place") == F.col("fp")) & (F.col("first.nr") == F.col("fn"))))
         return written(
-            pairs.join(texts.withColumnRenamed("line", "mine"), ["place", "nr"])
-            .join(texts.select(F.col("place").alias("fp"), F.col("nr").alias("fn"), F.col("line").alias("other")),
-                  (F.col("first.place") == F.col("fp")) & (F.col("first.nr") == F.col("fn")))
-            .withColumn("edits", banded_distance(chars("mine"), chars("other"), t))
-            .where("edits IS NOT NULL").groupBy(*ID).agg(F.min(F.struct(F.col("edits"), F.col("first").alias("of"))).alias("best"))
-            .select(*ID, "best.of", "best.edits"), "line-copies")
-
-    open_ = met.join(likely.select("place", "nr"), ["place", "nr"], "left_anti").where("n > 1")
-    found = verified(guessed.unionByName(all_of(open_)))
-    failed = guessed.join(found, ["place", "nr"], "left_anti")
-    if not failed.isEmpty():  # letter counts that agreed by chance
-        found = found.unionByName(verified(all_of(failed)))
-    return sure.unionByName(found).select(*ID, F.col("of.doc").alias("of_doc"), F.col("of.place").alias("of_place"), F.col("of.nr").alias("of_nr"), "edits")
+            both.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * t).withColumn("edits", banded_distance(chars("mine"), chars("theirs"), t))
+            .where("edits IS NOT NULL").groupBy(*ID).agg(F.min(F.struct("edits", "first")).alias("best")), "line-copies")
+
+    near = verified(open_.select(*ID, "first").distinct())
+    rest = open_.where("n > 1").join(near.select("place", "nr"), ["place", "nr"], "left_anti")
+    known = texts.select("place", "nr", "letters")
+    left = rest.join(known, ["place", "nr"]).select("key", *ID, "letters")
+    right = open_.where("own").join(known.withColumnRenamed("letters", "l2"), ["place", "nr"]).select("key", F.struct(*ID, "hash").alias("first"), "l2")
+    more = left.join(right, "key").where((F.bit_count(F.col("letters").bitwiseXOR(F.col("l2"))) <= 2 * t) & (me > other)).select(*ID, "first").distinct()
+    found = sure.unionByName(near).unionByName(verified(more))
+    return found.select(*ID, F.col("best.first.doc").alias("of_doc"), F.col("best.first.place").alias("of_place"), F.col("best.first.nr").alias("of_nr"),
+                        F.col("best.edits").alias("edits"))
 
 
 def drop_copied_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: LineSettings = LineSettings()) -> DataFrame:
