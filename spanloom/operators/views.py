@@ -169,7 +169,7 @@ def tool_chart(spans: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     return cards, period_series(points, by, ["tool"])
 
 
-# Series of the metric charts: chart, series, metric it shows, operation, unit.
+# Fixed values, series of the metric charts: chart, series, metric it shows, operation, unit.
 CHARTS = [
     ("quality", "groundedness", "Groundedness", "average", "SCALAR"),
     ("quality", "answerRelevancy", "AnswerRelevancy", "average", "SCALAR"),
@@ -182,6 +182,56 @@ CHARTS = [
     ("cost", "meanCost", "Cost", "average", "USD"),
     ("llm", "workflowEfficiency", "WorkflowEfficiency", "average", "SCALAR"),
     ("conversation", "cycles", "CyclesCount", "sum", "SCALAR"),
+    ("quality", "answerCorrectness", "AnswerCorrectness", "average", "PERCENTAGE"),
+    ("quality", "answerCoherence", "Coherence", "average", "PERCENTAGE"),
+    ("quality", "agentTonality", "Tonality", "average", "PERCENTAGE"),
+    ("quality", "generalStructureAndStyle", "GeneralStructureAndStyle", "average", "PERCENTAGE"),
+    ("quality", "overallTaskCompletion", "TaskCompletion", "average", "PERCENTAGE"),
+    ("reliability", "successRate", "SuccessRate", "average", "PERCENTAGE"),
+    ("reliability", "recoveryRate", "RecoveryRate", "average", "PERCENTAGE"),
+    ("reliability", "retryRate", "RetryRate", "average", "PERCENTAGE"),
+    ("reliability", "agentFailureCount", "AgentFailureCount", "sum", "SCALAR"),
+    ("reliability", "agentRecoveryCount", "AgentRecoveryCount", "sum", "SCALAR"),
+    ("reliability", "agentRecoveryRate", "AgentRecoveryRate", "average", "PERCENTAGE"),
+    ("reliability", "agentAvailability", "AgentAvailability", "average", "PERCENTAGE"),
+    ("reliability", "bias", "Bias", "average", "PERCENTAGE"),
+    ("reliability", "toxicity", "Toxicity", "average", "PERCENTAGE"),
+    ("reliability", "policyViolation", "PolicyViolation", "average", "PERCENTAGE"),
+    ("cost", "totalLLMCost", "LLMCost", "sum", "DOLLAR"),
+    ("cost", "totalToolCost", "ToolCost", "sum", "DOLLAR"),
+    ("cost", "averageLLMCost", "LLMCost", "average", "DOLLAR"),
+    ("cost", "averageToolCost", "ToolCost", "average", "DOLLAR"),
+    ("cost", "numberOfLLMCalls", "LLMCalls", "sum", "SCALAR"),
+    ("cost", "numberOfToolCalls", "ToolCalls", "sum", "SCALAR"),
+    ("llm", "totalLLMCost", "LLMCost", "sum", "DOLLAR"),
+    ("llm", "totalTokens", "TotalTokens", "sum", "SCALAR"),
+    ("llm", "inputTokens", "InputTokens", "sum", "SCALAR"),
+    ("llm", "outputTokens", "OutputTokens", "sum", "SCALAR"),
+    ("llm", "inferenceDuration", "InferenceDuration", "average", "MILLISECONDS"),
+    ("llm", "answerCorrectness", "AnswerCorrectness", "average", "PERCENTAGE"),
+    ("llm", "answerRelevancy", "AnswerRelevancy", "average", "PERCENTAGE"),
+    ("llm", "answerFaithfulness", "Faithfulness", "average", "PERCENTAGE"),
+    ("llm", "answerGroundedness", "Groundedness", "average", "PERCENTAGE"),
+    ("llm", "coherence", "Coherence", "average", "PERCENTAGE"),
+    ("llm", "tonality", "Tonality", "average", "PERCENTAGE"),
+    ("llm", "generalStructureStyleMetric", "GeneralStructureAndStyle", "average", "PERCENTAGE"),
+    ("llm", "uncertaintyScore", "UncertaintyScore", "average", "PERCENTAGE"),
+    ("llm", "llmSuccessRate", "LLMSuccessRate", "average", "PERCENTAGE"),
+    ("llm", "llmErrorRate", "LLMErrorRate", "average", "PERCENTAGE"),
+    ("llm", "llmRetryRate", "LLMRetryRate", "average", "PERCENTAGE"),
+    ("llm", "llmRecoveryRate", "LLMRecoveryRate", "average", "PERCENTAGE"),
+    ("llm", "piiDetection", "PIIDetection", "average", "PERCENTAGE"),
+    ("llm", "bias", "Bias", "average", "PERCENTAGE"),
+    ("llm", "toxicity", "Toxicity", "average", "PERCENTAGE"),
+    ("llm", "policyViolation", "PolicyViolation", "average", "PERCENTAGE"),
+    ("conversation", "relevancy", "AnswerRelevancy", "average", "PERCENTAGE"),
+    ("conversation", "completeness", "ResponseCompleteness", "average", "PERCENTAGE"),
+    ("conversation", "roleAdherence", "RoleAdherence", "average", "PERCENTAGE"),
+    ("conversation", "topicAdherence", "TopicAdherence", "average", "PERCENTAGE"),
+    ("conversation", "contextPreservation", "ContextPreservation", "average", "PERCENTAGE"),
+    ("conversation", "intentRecognitionAccuracy", "IntentRecognitionAccuracy", "average", "PERCENTAGE"),
+    ("conversation", "workflowCohesionIndex", "WorkflowCohesionIndex", "average", "PERCENTAGE"),
+    ("conversation", "goalSuccessRate", "GoalSuccessRate", "average", "PERCENTAGE"),
 ]
 
 
