@@ -13,7 +13,8 @@ from spanloom.functions.scalar import attr, base_name, has_suffix
 from spanloom.operators.groups import covariance
 from spanloom.operators.metrics import PERIODS, in_period, period_bounds, period_series
 from spanloom.operators.spans import is_error
-from spanloom.operators.traverse import closure, hop, of_type
+from spanloom.operators.traverse import hop, of_type
+from spanloom.session import cut_lineage
 
 # Spans left out of the tree's top level, and of the root's duration.
 SKIPPED = ["session.publish", "special_agent"]
@@ -23,24 +24,41 @@ OUTSIDE_ROOT_DURATION = ["session.end"]
 # -- waterfall ------------------------------------------------------------------------------
 
 
-def waterfall(spans: DataFrame) -> DataFrame:
-    """Every span with its parent in the tree ('root' on top), bounds widened by its descendants.
+def subtree_bounds(rows: DataFrame, keys: list[str], parent: str) -> DataFrame:
+    """(keys, a, b): least ``a`` and greatest ``b`` of a node and all below it; one row per node throughout.
 
-    Descendants come from the closure of the parent links; bounds are one aggregate over it.
+    ``parent`` is the parent's last key, NULL on top; nodes of other leading keys never mix. In round k a
+    node takes in the nodes whose pointer, 2^k links up, is this node, and then pointers double: the
+    rounds grow with the logarithm of the depth. Links that form a circle end with the number of nodes.
     """
+    *outer, own = keys
+    state = cut_lineage(rows.select(*keys, F.col(parent).alias("_up"), "a", "b"))
+    most = state.count()
+    span = 1
+    while span <= most:
+        below = state.where("_up IS NOT NULL").groupBy(*outer, F.col("_up").alias(own)).agg(F.min("a").alias("_a"), F.max("b").alias("_b"))
+        over = state.select(*outer, F.col(own).alias("_up"), F.col("_up").alias("_next"))
+        state = state.join(below, keys, "left").join(over, [*outer, "_up"], "left")
+        state = cut_lineage(state.select(*keys, F.col("_next").alias("_up"), F.least("a", "_a").alias("a"), F.greatest("b", "_b").alias("b")))
+        span *= 2
+        if state.where("_up IS NOT NULL").isEmpty():
+            break
+    return state.select(*keys, "a", "b")
+
+
+def waterfall(spans: DataFrame) -> DataFrame:
+    """Every span with its parent in the tree ('root' on top), bounds widened by its descendants in the session."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = spans.where("session_id <> ''").select(
         "session_id", "span_id", "span_name", "parent_span_id", us.alias("a"),
         (us + F.floor(F.col("duration") / 1e6) * 1000).alias("b"), is_error().alias("error"))
     last = F.substring_index("span_name", ".", -1)
     rows = rows.withColumn("_skip", last.isin(*SKIPPED))
-    known = rows.where("NOT _skip").select("session_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_in"))
-    linked = rows.join(known, ["session_id", "parent_span_id"], "left")
-    links = linked.where("_in").select("parent_span_id", "span_id")
-    below = closure(links, "parent_span_id", "span_id")
-    own = rows.select(F.col("span_id").alias("descendant"), "a", "b")
-    wide = below.join(own, "descendant").groupBy(F.col("ancestor").alias("span_id")).agg(F.min("a").alias("da"), F.max("b").alias("db"))
-    out = linked.where("NOT _skip").join(wide, "span_id", "left")
+    known = rows.where("NOT _skip").select("session_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_in")).distinct()
+    linked = cut_lineage(rows.join(known, ["session_id", "parent_span_id"], "left"))
+    nodes = linked.groupBy("session_id", "span_id").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min(F.when(F.col("_in"), F.col("parent_span_id"))).alias("_parent"))
+    wide = subtree_bounds(nodes, ["session_id", "span_id"], "_parent").withColumnsRenamed({"a": "da", "b": "db"})
+    out = linked.where("NOT _skip").join(wide, ["session_id", "span_id"], "left")
     a, b = F.least("a", "da"), F.greatest("b", "db")
     return out.select(
         "session_id", "span_id", "span_name", F.when(F.col("_in"), F.col("parent_span_id")).otherwise("root").alias("parent"),
