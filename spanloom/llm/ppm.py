@@ -20,7 +20,7 @@ START, END = 0xFE, 0xFF
 #: Not a word, so it can be the end token.
 END_WORD = " "
 #: Entries a task sums up before it passes them on.
-HELD = 600_000
+HELD = 400_000
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
                 for b in total.to_batches(100_000):
                     yield pa.RecordBatch.from_arrays([b.column("word"), pa.nulls(b.num_rows, pa.int64()), b.column("n")], names=["word", "window", "n"])
 
-        for part in slices(batches, "t", 2 << 20):
+        for part in slices(batches, "t", 1 << 20):
             key, n = np.unique(windows(part.column("t"), order)[0], return_counts=True)
             flat, _ = words_of(part.column("t"))
             found = pc.value_counts(pc.ascii_lower(flat))
@@ -327,7 +327,7 @@ def score_texts(docs: DataFrame, learned: Column, key: str = "doc_id", text: str
             pa.default_memory_pool().release_unused()
             _MODELS[stamp] = Ppm(depth, entry, n, order)
         model, logs = _MODELS[stamp], np.log10(known_n + 0.5)
-        for part in slices(batches, "t", 1 << 20):
+        for part in slices(batches, "t", 1 << 19):
             texts = part.column("t")
             window, owner = windows(texts, order)
             score = np.bincount(owner, model.log_probabilities(window), part.num_rows)
