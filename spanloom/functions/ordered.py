@@ -1,13 +1,10 @@
 """Ordered work inside groups that may be very long.
 
 A window partitioned by a session alone puts a whole session into one task. ``Sequence`` first
-counts rows per group. When no group is long, plain windows do. Otherwise groups that hold more
-than a thousandth of all rows are cut into ordered chunks at quantiles of the first order column;
-windows then run per (group, chunk), and what crosses a chunk border travels through a summary of
-one row per chunk.
-
-Sizes: at most 1000 groups can exceed a thousandth of the rows, each has at most ``CUTS`` + 1
-chunks, so the summaries that are broadcast have a fixed upper bound whatever the data volume.
+counts rows per group. When no group is long, plain windows do. Otherwise groups of more than
+``MIN_LONG_ROWS`` rows are cut into ordered chunks at quantiles of the first order column; windows
+then run per (group, chunk), and what crosses a chunk border travels through a summary of one row
+per chunk, which Spark broadcasts while it is small and joins when it is not.
 """
 
 from __future__ import annotations
@@ -19,22 +16,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spanloom.session import cut_lineage
 
 CUTS = 199
-LONG_SHARE = 1000
 MIN_LONG_ROWS = 1_000_000
 
 
 def long_group_cuts(
     df: DataFrame, keys: list[str], first: str, min_rows: int = MIN_LONG_ROWS
 ) -> DataFrame | None:
-    """(keys, _cuts) for the few groups long enough to be cut; None when there are none."""
+    """(keys, _cuts) for every group of more than ``min_rows`` rows; None when there are none.
+
+    Nothing here is broadcast by force: Spark does so while the cuts are few, and splits skewed joins when not.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
     if counts.isEmpty():
         return None
-    share = df.agg((F.count(F.lit(1)) / LONG_SHARE).alias("s")).scalar()
-    hot = counts.where(F.col("_n") > share).select(*keys)
+    hot = counts.select(*keys)
     fractions = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
     return (
-        df.join(F.broadcast(hot), keys, "left_semi")
+        df.join(hot, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(first, fractions, F.lit(10_000)).alias("_cuts"))
     )
@@ -72,7 +70,7 @@ class Sequence:
         if self.cut:
             first = F.col(self.order[0])
             self.df = (
-                df.join(F.broadcast(cut_lineage(cuts)), self.keys, "left")
+                df.join(cut_lineage(cuts), self.keys, "left")
                 .withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0)))
                 .withColumn("_long", F.col("_cuts").isNotNull())
                 .drop("_cuts")
@@ -88,7 +86,7 @@ class Sequence:
         order = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
         w = Window.partitionBy(*self.keys).orderBy(order)
         carry = summary.select(*self.keys, "_chunk", over(F.col("_part"), w).alias("_carry"))
-        return df.join(F.broadcast(carry), [*self.keys, "_chunk"], "left")
+        return df.join(carry, [*self.keys, "_chunk"], "left")
 
     def _neighbour(self, cols: dict[str, Column | str], reverse: bool) -> "Sequence":
         pack = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(o) for o, c in cols.items()])

@@ -175,8 +175,7 @@ def quality_per_session(results: DataFrame, key: str = "session_key", names: lis
 
 def metric_lists(results: DataFrame, names: list[str]) -> DataFrame:
     """All results per (session, metric), one per row, numbered by time."""
-    w = Window.partitionBy("session_key", "metric").orderBy("ts", "result_id")
-    return results.where(F.col("metric").isin(*names)).withColumn("pos", F.row_number().over(w))
+    return Sequence(results.where(F.col("metric").isin(*names)), ["session_key", "metric"], ["ts", "result_id"]).number("pos").done()
 
 
 def overall_performance(results: DataFrame, by: list[str]) -> DataFrame:
