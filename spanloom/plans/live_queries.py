@@ -41,7 +41,7 @@ def _(s, d):
 
 @query("session_status_stream", "2.11.2", sql=STATUS)
 def _(s, d):
-    return texts(jobs.run_available(jobs.session_status(as_stream(s, d, "topology")), "complete"), "end_time")
+    return texts(jobs.run_available(jobs.session_status(as_stream(s, d, "topology")), "update", keys=["session_key"]), "end_time")
 
 
 ORPHANS = """SELECT session_key, max(ts) AS last_activity, count(*) FILTER (event_name = 'topology.session.started') AS n_started FROM topology GROUP BY 1
@@ -79,7 +79,7 @@ def _(s, d):
 
 @query("active_agents_stream", "2.11.4", sql=AGENTS)
 def _(s, d):
-    return texts(jobs.run_available(jobs.active_agents(as_stream(s, d, "topology")), "complete"), "start_time", "end_time")
+    return texts(jobs.run_available(jobs.active_agents(as_stream(s, d, "topology")), "update", keys=["agent"]), "start_time", "end_time")
 
 
 @query("active_tools", "2.11.5", sql=TOOLS)
@@ -89,7 +89,7 @@ def _(s, d):
 
 @query("active_tools_stream", "2.11.5", sql=TOOLS)
 def _(s, d):
-    return texts(jobs.run_available(jobs.active_tools(as_stream(s, d, "topology")), "complete"), "start_time", "end_time")
+    return texts(jobs.run_available(jobs.active_tools(as_stream(s, d, "topology")), "update", keys=["tool"]), "start_time", "end_time")
 
 
 @query("inferred_tools", "2.11.5", sql="""

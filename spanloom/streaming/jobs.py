@@ -32,8 +32,11 @@ def stream_files(spark: SparkSession, folder: str, glob: str, schema, files_per_
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str = "append", each: Callable | None = None) -> DataFrame | None:
-    """Process what is there. Without ``each``, the rows of the last complete result come back."""
+def run_available(stream: DataFrame, mode: str = "append", each: Callable | None = None, keys: list[str] | None = None) -> DataFrame | None:
+    """Process what is there. Without ``each``, the result comes back; in update mode the newest row of each of ``keys``.
+
+    A micro-batch writes only what it has changed, to a folder of its own.
+    """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/out"
@@ -41,13 +44,19 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable | None
 
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that is tried again replaces its own rows
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "append" else out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).foreachBatch(each or keep).start())
     query.awaitTermination()
-    return None if each else spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    if each:
+        return None
+    if mode == "update":
+        rest = [c for c in schema.names if c not in keys]
+        rows = spark.read.parquet(out)
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*").select(*schema.names)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 # -- sessions, agents, tools ----------------------------------------------------------------
