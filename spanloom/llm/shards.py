@@ -10,11 +10,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import slices, table, text_or_empty
-from spanloom.session import shared_folder, written
+from spanloom.session import shared_folder
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how texts are split before merging, public with this vocabulary.
@@ -79,48 +80,76 @@ class Feistel:
         return self._walk(slots, True)
 
 
-def _encoder(ranks: dict[bytes, int]):
-    import tiktoken
+class Tokens:
+    """Counts and encodes with one vocabulary; counts of parts of texts are remembered."""
 
-    return tiktoken.Encoding("fixed", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    REMEMBERED = 300_000
 
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
 
-_ENCODERS: dict[str, object] = {}
+        self.coder = tiktoken.Encoding("fixed", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, int] = {}
 
+    def count(self, text: str) -> int:
+        """How many ids ``encode`` gives. A single space is always split off before what it follows, so parts count by themselves."""
+        if "  " in text:
+            return len(self.coder.encode_ordinary(text))
+        first, *rest = text.split(" ")
+        known, total = self.known, len(self.coder.encode_ordinary(first))
+        for part in rest:
+            n = known.get(part)
+            if n is None:
+                n = known[part] = len(self.coder.encode_ordinary(" " + part))
+            total += n
+        if len(known) > self.REMEMBERED:
+            known.clear()
+        return total
 
-def token_rows(docs: DataFrame, text: str, ranks_path: str, end: int) -> DataFrame:
-    """``pid, n, ids binary`` of every text, and ``before``: the tokens of the rows before it in its partition."""
-    with open(ranks_path, "rb") as f:  # a vocabulary on the driver, as large for any table
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    shared, stamp = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.coder.encode_ordinary_batch(texts, num_threads=1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[stamp] = _encoder(shared.value)
-        total = 0
-        for part in slices(batches, "t", 2 << 20):
-            ids = [np.array([*x, end], "<u2") for x in _ENCODERS[stamp].encode_ordinary_batch(part.column("t").to_pylist(), num_threads=1)]
-            n = np.array([len(x) for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(total + np.cumsum(n) - n), pa.array([x.tobytes() for x in ids], pa.binary())],
-                                             names=["n", "before", "ids"])
-            total += int(n.sum())
 
-    return docs.select(text_or_empty(text).alias("t")).mapInArrow(work, "n long, before long, ids binary").withColumn("pid", F.spark_partition_id())
+_TOKENS: dict[str, Tokens] = {}
+
+
+def _tokens(ranks: dict[bytes, int], stamp: str) -> Tokens:
+    if stamp not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[stamp] = Tokens(ranks)
+    return _TOKENS[stamp]
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    """A vocabulary, read on the driver: as large for any table."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: str = RANKS, settings: ShardSettings = ShardSettings()) -> int:
     """Write all texts as shards into ``folder``; the number of sequences.
 
-    Texts follow each other, each with the end id, in the order in which Spark reads ``docs`` when the token
-    rows are written; sequence i holds the tokens from i * length on. Its slot is the Feistel permutation
-    of i; shard slot // per_shard has it at byte stride * (slot % per_shard). A null or empty text is its
-    end id only. An empty table gives no shard. Nothing is gathered: a task cuts its own range of
-    tokens into sequences, and what crosses a border travels in pieces to its slot.
+    Texts follow each other, each with the end id, in the order in which Spark reads ``docs``; sequence i
+    holds the tokens from i * length on. Its slot is the Feistel permutation of i; shard slot // per_shard
+    has it at byte stride * (slot % per_shard). A null or empty text is its end id only. An empty table
+    gives no shard.
+
+    ``docs`` is read twice: once to count the tokens of every partition, once to encode and cut them; so
+    no ids are stored between. A partition that counts differently the second time is an error, so
+    read ``docs`` from files. Nothing is gathered: a task cuts its own range of tokens into sequences,
+    and what crosses a border travels in pieces to its slot.
     """
     spark, s = docs.sparkSession, settings
-    rows = written(token_rows(docs, text, ranks_path, s.end), "tokens")
-    totals = {r.pid: r.n for r in rows.groupBy("pid").agg(F.sum("n").alias("n")).collect()}  # a number for each partition
+    shared, stamp = spark.sparkContext.broadcast(load_ranks(ranks_path)), uuid.uuid4().hex
+    texts = docs.select(text_or_empty(text).alias("t"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = _tokens(shared.value, stamp), 0
+        for part in slices(batches, "t", 2 << 20):
+            total += sum(map(tokens.count, part.column("t").to_pylist())) + part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64())], names=["pid", "n"])
+
+    totals = {r.pid: r.n for r in texts.mapInArrow(counted, "pid long, n long").collect()}  # a number for each partition
     at, base = 0, {}
     for pid in sorted(totals):
         base[pid] = at
@@ -129,25 +158,22 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
     if not count:
         return 0
     order = Feistel(count, s.key)
-    starts = spark.createDataFrame(sorted(base.items()), "pid int, base long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole sequences and pieces of a stretch of tokens; rows that follow on another are cut as one."""
-        for part in slices(batches, "ids", 8 << 20):
-            begin = part.column("begin").to_numpy()
-            n = part.column("n").to_numpy()
-            breaks = np.flatnonzero(begin[1:] != begin[:-1] + n[:-1]) + 1
-            seq, first, pieces = [], [], []
-            for run in np.split(np.arange(len(n)), breaks):
-                raw = b"".join(x.as_py() for x in part.column("ids").slice(int(run[0]), len(run)))
-                o, end = int(begin[run[0]]), int(begin[run[0]] + n[run].sum())
-                edges = [o, *range((o // s.length + 1) * s.length, end, s.length), end]
-                for a, b in zip(edges, edges[1:]):
-                    seq.append(a // s.length)
-                    first.append(a % s.length)
-                    pieces.append(raw[2 * (a - o):2 * (b - o)])
-            yield pa.RecordBatch.from_arrays([pa.array(order.slots(np.array(seq))), pa.array(first, pa.int32()), pa.array(pieces, pa.binary())],
+        """Whole sequences and pieces of this partition's stretch of tokens."""
+        pid = TaskContext.get().partitionId()
+        tokens, o = _tokens(shared.value, stamp), base.get(pid, 0)
+        for part in slices(batches, "t", 1 << 20):
+            ids = np.array([x for t in tokens.encode(part.column("t").to_pylist()) for x in (*t, s.end)], "<u2")
+            end = o + len(ids)
+            edges = [o, *range((o // s.length + 1) * s.length, end, s.length), end]
+            pieces = [ids[a - o:b - o].tobytes() for a, b in zip(edges, edges[1:])]
+            starts = np.array(edges[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(order.slots(starts // s.length)), pa.array((starts % s.length).astype(np.int32)), pa.array(pieces, pa.binary())],
                                              names=["slot", "first", "piece"])
+            o = end
+        if o != base.get(pid, 0) + totals.get(pid, 0):
+            raise ValueError(f"partition {pid} had {totals.get(pid, 0)} tokens when they were counted, and {o - base.get(pid, 0)} now")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records of pieces sorted by slot and place."""
@@ -172,8 +198,7 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
 
     shards = -(-count // s.per_shard)
     shard = F.floor(F.col("slot") / s.per_shard).cast("int")
-    pieces = (rows.join(F.broadcast(starts), "pid").withColumn("begin", F.col("base") + F.col("before"))  # a row for each partition
-              .select("begin", "n", "ids").mapInArrow(cut, "slot long, first int, piece binary"))
+    pieces = texts.mapInArrow(cut, "slot long, first int, piece binary")
     (pieces.repartitionById(shards, shard).sortWithinPartitions("slot", "first").mapInArrow(joined, "slot long, record binary")
      .withColumn("shard", shard).sortWithinPartitions("shard", "slot")
      # bytes pass a string column unchanged: the writer puts them down as they are, and a line end after each

@@ -1,10 +1,11 @@
-import base64
 import os
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from spanloom.llm.shards import RANKS, Feistel, ShardSettings, _encoder, read_slots, token_rows, write_shards
+from spanloom.llm.shards import RANKS, Feistel, ShardSettings, Tokens, load_ranks, read_slots, write_shards
 
 needs = pytest.mark.skipif(not os.path.exists(RANKS), reason="needs the vocabulary file")
 
@@ -25,21 +26,21 @@ def test_round_trip(spark, odd, tmp_path, parts):
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     docs = docs.selectExpr("*", "1 AS slot", "2 AS pid", "3 AS n").coalesce(8).repartition(parts)
     s = ShardSettings(length=16, per_shard=32)
-    rows = token_rows(docs, "text", RANKS, s.end).orderBy("pid", "before").collect()
-    stream = np.concatenate([np.frombuffer(r.ids, "<u2") for r in rows])
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    tokens = Tokens(load_ranks(RANKS))
+    stream = np.concatenate([np.array([*ids, s.end]) for ids in tokens.encode([r.text or "" for r in docs.collect()])])
     folder = str(tmp_path / "out")
     count = write_shards(docs, folder, settings=s)
     assert count == -(-len(stream) // 16)
     got = read_slots(spark, folder).collect()
     assert sorted(r.slot for r in got) == list(range(count)) and sorted(r.sequence for r in got) == list(range(count))
     back = np.concatenate([np.frombuffer(r.record, "<u2") for r in sorted(got, key=lambda r: r.sequence)])
-    assert sorted(back.tolist()) == sorted([*stream.tolist(), *[s.end] * (count * 16 - len(stream))])
-    with open(RANKS, "rb") as f:
-        coder = _encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+    assert back.tolist() == [*stream.tolist(), *[s.end] * (count * 16 - len(stream))]
     cuts = np.flatnonzero(back == s.end)
     said, at = [], 0
     for c in cuts.tolist():
-        said.append(coder.decode(back[at:c].tolist()))
+        said.append(tokens.coder.decode(back[at:c].tolist()))
         at = c + 1
     want = [r.text or "" for r in docs.collect()]
     assert sorted(said)[len(said) - len(want):] == sorted(want) or sorted(x for x in said if x) == sorted(x for x in want if x)
@@ -54,6 +55,18 @@ def test_round_trip(spark, odd, tmp_path, parts):
     assert {r.slot: r.record for r in some}.items() <= {r.slot: r.record for r in got}.items()
 
 
+@needs
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", "\t", " b", "'s", "12", "é", "!?", "\u3000", "𝒳"]), max_size=14).map("".join))
+def test_counts(text):
+    if not TOKENS:
+        TOKENS.append(Tokens(load_ranks(RANKS)))
+    assert TOKENS[0].count(text) == len(TOKENS[0].encode([text])[0])
+
+
+TOKENS = []
+
+
 @needs
 def test_empty_table(spark, odd, tmp_path):
     assert write_shards(odd.limit(0), str(tmp_path / "none")) == 0
