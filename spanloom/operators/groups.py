@@ -125,13 +125,13 @@ def metric_spread(values: DataFrame, keys: list[str]) -> DataFrame:
 def bootstrap_consistency(values: DataFrame, keys: list[str], replicates: int = REPLICATES, draws: int = DRAWS, seed: int = 7) -> DataFrame:
     """Mean and interval of the deviation over resamples with replacement.
 
-    Draw i of replicate r takes row xxhash64(seed, r, i) mod n, so the result is repeatable. What is
-    joined is replicates * draws rows per group, whatever the size of the group.
+    Draw d takes the row whose number is the first eight digits of md5(seed|d) mod n, so the result is
+    repeatable anywhere. What is joined is replicates * draws rows per group, whatever its size.
     """
     numbered = Sequence(values, keys, ["value", "id"]).number("row").done().withColumn("row", F.col("row") - 1)
     stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("value") - F.min("value")).alias("r"))
     plan = stats.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates * draws - 1))).alias("d"))
-    picks = plan.select(*keys, F.floor(F.col("d") / draws).alias("replicate"), F.pmod(F.xxhash64(F.lit(seed), "d"), "n").alias("row"))
+    picks = plan.select(*keys, F.floor(F.col("d") / draws).alias("replicate"), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "d")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("row"))
     per = picks.join(numbered.select(*keys, "row", "value"), [*keys, "row"]).groupBy(*keys, "replicate").agg(F.stddev_pop("value").alias("s"))
     edge = (100 - CONFIDENCE) / 200
     summary = per.groupBy(*keys).agg(F.avg("s").alias("m"), F.percentile("s", F.array(F.lit(edge), F.lit(1 - edge))).alias("q"))

@@ -44,7 +44,12 @@ def _(s, d):
     return cl.radius_groups(vectors(s, d).withColumnRenamed("session_key", "id"), RADIUS)
 
 
-@query("nested_groups", "2.9.1")
+@query("nested_groups", "2.9.1", sql=f"""
+WITH RECURSIVE e AS (SELECT a.session_key AS a, b.session_key AS b, {COS.format(a='a.vector', b='b.vector')} AS dd FROM vectors a JOIN vectors b ON a.session_key <> b.session_key),
+ r(depth, radius) AS (VALUES (0, 0.65::DOUBLE), (1, 0.6::DOUBLE), (2, 0.55::DOUBLE)),
+ t(depth, id, c) AS (SELECT depth, session_key, session_key FROM vectors, r UNION SELECT t.depth, t.id, e.b FROM t JOIN r ON r.depth = t.depth JOIN e ON e.a = t.c AND e.dd <= r.radius),
+ m AS (SELECT depth, id, min(c) AS c FROM t GROUP BY 1, 2), k AS (SELECT depth, id, 'L' || CAST(depth AS VARCHAR) || '_' || c AS group_id, count(*) OVER (PARTITION BY depth, c) AS n FROM m)
+SELECT k.group_id, r.radius, k.n AS n_sessions, min(p.group_id) AS parent_id FROM k JOIN r USING (depth) LEFT JOIN k p ON p.id = k.id AND p.depth = k.depth - 1 AND p.n >= 2 WHERE k.n >= 2 GROUP BY 1, 2, 3""")
 def _(s, d):
     member, links = cl.nested_groups(vectors(s, d).withColumnRenamed("session_key", "id"), [0.65, 0.6, 0.55])
     sized = member.groupBy("group_id", "radius").agg(F.count(F.lit(1)).alias("n_sessions"))
@@ -118,9 +123,16 @@ def values(s, d):
 GM = ["group_id", "metric"]
 
 
-@query("bootstrap_consistency", "2.9.11")
+@query("bootstrap_consistency", "2.9.11", sql=f"""
+WITH st AS (SELECT group_id, metric, count(*) AS n, max(value) - min(value) AS r FROM gvals GROUP BY 1, 2),
+ nb AS (SELECT group_id, metric, value, row_number() OVER (PARTITION BY group_id, metric ORDER BY value, id) - 1 AS nr FROM gvals),
+ d AS (SELECT i // {gr.DRAWS} AS rep, CAST('0x' || substr(md5('7|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM range({gr.REPLICATES * gr.DRAWS}) t(i)),
+ per AS (SELECT st.group_id, st.metric, rep, stddev_pop(nb.value) AS s FROM st CROSS JOIN d JOIN nb ON nb.group_id = st.group_id AND nb.metric = st.metric AND nb.nr = d.h % st.n GROUP BY 1, 2, 3),
+ q AS (SELECT group_id, metric, avg(s) AS m, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM per GROUP BY 1, 2), f AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE r END AS top FROM q JOIN st USING (group_id, metric))
+SELECT group_id, metric, n, round((top - m) / top, 6) AS consistency, round((top - hi) / top, 6) AS ci_low, round((top - lo) / top, 6) AS ci_high,
+ CASE WHEN (hi - lo) / top < {gr.HIGH_WIDTH} THEN 'High' WHEN (hi - lo) / top < {gr.MEDIUM_WIDTH} THEN 'Medium' ELSE 'Low' END AS indicator FROM f""")
 def _(s, d):
-    return gr.bootstrap_consistency(values(s, d), GM)
+    return rounded(gr.bootstrap_consistency(values(s, d), GM), "consistency", "ci_low", "ci_high")
 
 
 @query("metric_consistency", "2.9.12", sql="""
