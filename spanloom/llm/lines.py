@@ -85,11 +85,11 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
             out.append(states[e].bitwiseOR(F.shiftleft(out[e - 1], 1)).bitwiseAND(full))
         return out
 
-    def step(acc: Column, i: Column) -> Column:
+    def step(acc: Column, i: Column, a: Column, b: Column) -> Column:
         same = F.lit(0)
         for k in range(width):
-            there = i + F.lit(k - edits)
-            same = same.bitwiseOR(F.when((there >= 0) & (F.get(b, there) == F.get(a, i)), 1 << k).otherwise(0))
+            # beyond either end there is no character, which is equal to none
+            same = same.bitwiseOR(F.when(F.get(b, i + F.lit(k - edits)) == F.get(a, i), 1 << k).otherwise(0))
         old = [acc[f"e{e}"] for e in range(edits + 1)]
         new = [old[0].bitwiseAND(same)]
         for e in range(1, edits + 1):
@@ -97,9 +97,8 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         return F.struct(*(x.alias(f"e{e}") for e, x in enumerate(closed(new))))
 
     start = F.struct(*(x.alias(f"e{e}") for e, x in enumerate(closed([F.lit(1 << edits)] * (edits + 1)))))
-    steps = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def finish(acc: Column) -> Column:
+    def finish(acc: Column, a: Column, b: Column) -> Column:
         at = F.size(b) - F.size(a) + edits
         out = F.lit(None).cast("int")
         for e in range(edits, -1, -1):
@@ -109,7 +108,13 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
             out = F.when(reached, F.lit(e)).otherwise(out)
         return out
 
-    return F.aggregate(steps, start, step, finish)
+    def of(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        steps = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, lambda acc, i: step(acc, i, a, b), lambda acc: finish(acc, a, b))
+
+    # bound to a variable, the arrays are worked out once a pair, not once a character
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 0)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -50,7 +50,7 @@ def brute(rows, s):
 def test_banded_distance(spark, edits):
     words = [(a, b) for a in ["", "a", "kitten", "abcabcabc", "aaaa"] for b in ["", "b", "sitten", "kitting", "abcabc", "bcabcabca", "aaaaa"]]
     words += [(x, changed(x, R.randint(0, 4))) for x in ["".join(R.choice("ab") for _ in range(R.randint(0, 12))) for _ in range(150)]]
-    df = spark.createDataFrame(words, "a string, b string").withColumn("d", banded_distance(F.split("a", ""), F.split("b", ""), edits))
+    df = spark.createDataFrame(words, "a string, b string").withColumn("d", banded_distance(F.split(F.col("a"), ""), F.split(F.col("b"), ""), edits))
     for r in df.collect():
         d = distance(r.a, r.b)
         if r.a and r.b:
