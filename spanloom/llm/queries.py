@@ -56,4 +56,15 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
  e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
  t(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT t.id, e.y FROM t JOIN e ON e.x = t.c)
 SELECT t.id AS doc_id, n.n AS n_shingles, min(t.c) AS component_id FROM t JOIN n ON n.doc_id = t.id GROUP BY 1, 2""",
+    "op9_repeats": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+ w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+ g AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+ i AS (SELECT *, sum(CASE WHEN p > q + 100 OR q IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM g)),
+ r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, run),
+ e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n, n FROM d),
+ k AS (SELECT e.doc_id, e.a, substr(h, 2 * lo + 1, 2 * (e.a - lo)) AS part FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS lo FROM e) e JOIN d USING (doc_id)),
+ t AS (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY a))) AS kept_sha256 FROM k GROUP BY 1)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed, coalesce(x.spans, 0) AS n_spans, t.kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM r GROUP BY 1) x USING (doc_id)""",
 }
