@@ -71,3 +71,19 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joined = b"".join(x.as_buffer().to_pybytes() for x in texts) if len(texts) < 64 else pc.binary_join(
         pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts.cast(pa.binary())), b"")[0].as_py()
     return np.frombuffer(joined, np.uint8), offsets
+
+
+def bit_table(values: DataFrame, column: str, bits: int) -> DataFrame:
+    """``bucket, bits`` of a bit table of a fixed size that says which values ``column`` may have: for a broadcast of ``bits`` / 8 bytes."""
+    bit = F.pmod(F.col(column), F.lit(bits))
+    return values.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("at").alias("bits"))
+
+
+def having_bit(rows: DataFrame, column: str, table_: DataFrame, bits: int) -> DataFrame:
+    """The rows whose ``column`` may be among the values of the bit table."""
+    bit = F.pmod(F.col(column), F.lit(bits))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.col("bits").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(table_), "bucket")
+    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table, text_or_empty
+from spanloom.llm.common import bit_table, having_bit, table, text_or_empty
 from spanloom.session import written
 
 #: Letters counted for the filter before edit distances.
 COUNTED = "etaoinsrhldcumfg"
+#: Bits of the table of segment keys, 16 MB; a clash costs a row in the shuffle.
+KEY_BITS = 1 << 27
 
 
 ID = ["doc", "place", "nr"]
@@ -47,7 +49,7 @@ def probe_list(edits: int, own_only: bool = False) -> Column:
 
 
 def keyed(lines: DataFrame, settings: LineSettings, own_only: bool = False) -> DataFrame:
-    """A row ``key, own`` for each thing a line looks up; segments are nearly equal, the longer ones come last."""
+    """A row ``key, own, whole`` for each thing a line looks up; segments are nearly equal, the longer ones come last."""
     count = settings.edits + 1
     c = F.col
     rows = lines.select("*", F.inline(probe_list(settings.edits, own_only))).withColumn("other", c("size") - c("delta"))
@@ -56,8 +58,8 @@ def keyed(lines: DataFrame, settings: LineSettings, own_only: bool = False) -> D
         "at": c("short") * c("segment") + F.greatest(F.lit(0), c("segment") - count + c("longer")) + c("shift"),
         "width": c("short") + F.when(c("segment") >= F.lit(count) - c("longer"), 1).otherwise(0)})
     rows = rows.where((c("segment") < 0) | (c("size") >= settings.near_chars) & (c("at") >= 0) & (c("at") + c("width") <= c("size")))
-    key = F.when(c("segment") < 0, F.xxhash64(c("segment"), c("hash"))).otherwise(F.xxhash64("other", "segment", c("line").substr(c("at") + 1, c("width"))))
-    return rows.select(*ID, "hash", key.alias("key"), "own")
+    key = F.when(c("segment") < 0, F.xxhash64("segment", "line")).otherwise(F.xxhash64("other", "segment", c("line").substr(c("at") + 1, c("width"))))
+    return rows.select(*ID, key.alias("key"), "own", (c("segment") < 0).alias("whole"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -134,12 +136,15 @@ def earlier_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     """
     t = settings.edits
     lines = lines_of(docs, key, text)
-    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= settings.least_chars).withColumn("hash", F.xxhash64("line"))
+    sized = lines.withColumn("size", F.length("line")).where(F.col("size") >= settings.least_chars)
     me, other = F.struct(*ID), F.struct("first.doc", "first.place", "first.nr")
-    first = keyed(sized, settings, True).groupBy("key").agg(F.min(F.struct(*ID, "hash")).alias("first"), F.count("*").alias("n"))
+    own = keyed(sized, settings, True)
+    first = own.groupBy("key").agg(F.min(me).alias("first"), F.count("*").alias("n"))
+    # most substrings are no line's segment; a bit table of fixed size says so before the shuffle
+    rows = having_bit(keyed(sized, settings), "key", bit_table(own, "key", KEY_BITS), KEY_BITS)
     # only lines in a key with an earlier line: few of all
-    met = written(keyed(sized, settings).join(first, "key").where(me > other), "line-matches")
-    sure = (met.where(F.col("hash") == F.col("first.hash")).groupBy(*ID).agg(F.min(F.struct(F.lit(0).alias("edits"), "first")).alias("best")))
+    met = written(rows.join(first, "key").where(me > other), "line-matches")
+    sure = (met.where("whole").groupBy(*ID).agg(F.min(F.struct(F.lit(0).alias("edits"), "first")).alias("best")))
     # a line equal to an earlier one stands for nothing that the earlier one doesn't
     open_ = written(met.join(sure.select("place", "nr"), ["place", "nr"], "left_anti"), "line-open")
     ends = F.array(F.struct("place", "nr"), F.struct(F.col("first.place").alias("place"), F.col("first.nr").alias("nr")))
@@ -160,7 +165,7 @@ def earlier_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     rest = open_.where("n > 1").join(near.select("place", "nr"), ["place", "nr"], "left_anti")
     known = texts.select("place", "nr", "letters")
     left = rest.join(known, ["place", "nr"]).select("key", *ID, "letters")
-    right = open_.where("own").join(known.withColumnRenamed("letters", "l2"), ["place", "nr"]).select("key", F.struct(*ID, "hash").alias("first"), "l2")
+    right = open_.where("own").join(known.withColumnRenamed("letters", "l2"), ["place", "nr"]).select("key", me.alias("first"), "l2")
     more = left.join(right, "key").where((F.bit_count(F.col("letters").bitwiseXOR(F.col("l2"))) <= 2 * t) & (me > other)).select(*ID, "first").distinct()
     found = sure.unionByName(near).unionByName(verified(more))
     return found.select(*ID, F.col("best.first.doc").alias("of_doc"), F.col("best.first.place").alias("of_place"), F.col("best.first.nr").alias("of_nr"),
