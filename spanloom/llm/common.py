@@ -74,16 +74,18 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bit_table(values: DataFrame, column: str, bits: int) -> DataFrame:
-    """``bucket, bits`` of a bit table of a fixed size that says which values ``column`` may have: for a broadcast of ``bits`` / 8 bytes."""
+    """``bucket, words`` of a bit table of a fixed size that says which values ``column`` may have: ``bits`` / 8 bytes to broadcast."""
     bit = F.pmod(F.col(column), F.lit(bits))
-    return values.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(
+    table_ = values.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(
         F.bitmap_construct_agg("at").alias("bits"))
+    word = lambda i: F.conv(F.hex(F.col("bits").substr(i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return table_.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(511)), word).alias("words"))  # 4 096 bytes as longs
 
 
 def having_bit(rows: DataFrame, column: str, table_: DataFrame, bits: int) -> DataFrame:
     """The rows whose ``column`` may be among the values of the bit table."""
     bit = F.pmod(F.col(column), F.lit(bits))
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.col("bits").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    at = F.bitmap_bit_position(bit).cast("int")
+    inside = (7 - F.shiftright(at, 3) % 8) * 8 + at % 8  # the first byte of a word is its highest
     joined = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(table_), "bucket")
-    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+    return joined.where(F.getbit(F.get("words", F.shiftright(at, 6)), inside) == 1).select(*rows.columns)
