@@ -96,10 +96,11 @@ class Plan:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
     def _cheapest(self, k: int, docs: int) -> tuple[int, int]:
-        """How many segments are wide, and how many there are: least keys written and chance pairs looked at.
+        """How many segments are wide, and how many there are: least keys written, and rows and pairs that meet by chance.
 
         A narrow segment costs a key and meets by chance when empty on both sides; a wide one also
-        costs a key for each of its shingles, and meets when it has one shingle at most.
+        costs a key for each of its shingles, and meets when it has one shingle at most. A row that meets
+        others by chance travels with its cells, some 15 times as many bytes as a key; a pair is a few comparisons.
         """
         need, size = int(self.far[k]) + 1, int(self.starts[k])
         best = None
@@ -108,8 +109,9 @@ class Plan:
             load = size / m
             alone, single = np.exp(-load), np.exp(-load) * (1 + load)
             keys = docs * (m + wide * load)
-            chance = docs * docs / 2 * ((m - wide) * alone ** 2 + wide * single ** 2)
-            cost = keys + 4 * chance
+            rows = docs * ((m - wide) * alone + wide * single)
+            pairs = docs * docs / 2 * ((m - wide) * alone ** 2 + wide * single ** 2)
+            cost = keys + 15 * rows + 0.05 * pairs
             if best is None or cost < best[0]:
                 best = (cost, wide, m)
         return best[1], best[2]
@@ -363,9 +365,24 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         both = F.size(F.array_intersect("sa", "sb"))
         return written(joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "jaccard-links")
 
-    # each set with the least of each of its keys: enough for most groups of copies
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = plan.differ(na, nb)
+            close = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            for i, (x, y) in enumerate(zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist())):
+                if close[i]:
+                    close[i] = _DIFFERENT[np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)].sum() <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    # each set with the least of each of its keys: enough for most groups of copies; cells leave out what met by chance
     least_of = met.groupBy("key").agg(F.min("v").alias("a"))
-    links = verified(met.join(least_of, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct())
+    star = met.join(least_of, "key").where("v <> a").groupBy("a", F.col("v").alias("b")).agg(F.min(band_of).alias("k"))
+    small = sets.select("v", "n", "band", "own", "below")
+    cells = lambda x: F.when(F.col(f"band_{x}") == F.col("k"), F.col(f"own_{x}")).otherwise(F.col(f"below_{x}"))
+    sized = (star.join(small.toDF("a", "na", "band_a", "own_a", "below_a"), "a").select("a", "b", "k", "na", cells("a").alias("ca"))
+             .join(small.toDF("b", "nb", "band_b", "own_b", "below_b"), "b").select("a", "b", "na", "nb", "ca", cells("b").alias("cb")))
+    links = verified(sized.mapInArrow(likely, "a long, b long"))
     root = connected(links)
     # keys with several components: the likeliest pairs between them, a forest for each key, and then all that are left
     for forest in (True, False):
