@@ -19,7 +19,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Below the worst piece by this much lies a character that no piece spells.
 UNKNOWN_PENALTY = 10.0
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)
