@@ -25,10 +25,10 @@ HELD = 400_000
 
 @dataclass(frozen=True)
 class PpmSettings:
-    """``order``: bytes of context, 6 at most. ``capacity``: entries (context, byte) of the trie.
+    """``order``: bytes of context, 6 at most. ``capacity``: entries (context, byte) held in memory at once.
 
-    The capacity is a property of the model, as in any PPM coder with bounded memory: contexts enter by
-    how often they occur in all training texts, whole contexts only, so it bounds what is broadcast.
+    The model has all contexts of the training texts. The capacity bounds the ranges of contexts it is worked
+    out in, and how many of the most frequent windows are looked up in memory; all others are joined.
     ``head_words``: how many of the most frequent words are looked up in memory; all others are joined.
     """
 
@@ -65,9 +65,11 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
-    """How often each lower-cased word and each window of bytes occurs: ``word string, window long, n long``.
+    """Counts over ``t, held_out``: ``word string, window long, n long, uses long``.
 
-    Every task sums up its rows before the shuffle; a text cut nowhere, a null text counted as empty.
+    ``n`` is how often a lower-cased word or a window of bytes occurs in the texts learned from, ``uses`` how
+    often a window does in all texts (for a word, the same as ``n``). Every task sums up its rows before the
+    shuffle; a text cut nowhere, a null text counted as empty.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +87,18 @@ def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column("word"), pa.nulls(b.num_rows, pa.int64()), b.column("n")], names=["word", "window", "n"])
 
         for part in slices(batches, "t", 1 << 20):
-            key, n = np.unique(windows(part.column("t"), order)[0], return_counts=True)
-            flat, _ = words_of(part.column("t"))
+            window, owner = windows(part.column("t"), order)
+            out = part.column("held_out").to_numpy(zero_copy_only=False)
+            key, n = np.unique(window << 1 | out[owner], return_counts=True)  # the last bit: held out
+            learn = part.column("t").filter(pc.invert(part.column("held_out")))
+            flat, _ = words_of(learn)
             found = pc.value_counts(pc.ascii_lower(flat))
             words.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
-            words.append(pa.table({"word": pa.array([END_WORD]), "n": pa.array([part.num_rows], pa.int64())}))
+            if len(learn):
+                words.append(pa.table({"word": pa.array([END_WORD]), "n": pa.array([len(learn)], pa.int64())}))
             keys.append(key)
             counts.append(n)
-            held += len(key) + len(words[-2])
+            held += len(key) + len(found)
             if held > HELD:
                 keys, counts = map(list, zip(_summed(keys, counts)))
                 words = [pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])]
@@ -103,7 +109,10 @@ def corpus_counts(texts: DataFrame, order: int) -> DataFrame:
         yield from passed()
         pa.default_memory_pool().release_unused()
 
-    return texts.mapInArrow(work, "word string, window long, n long").groupBy("word", "window").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(work, "word string, window long, n long")
+    learned = F.col("word").isNotNull() | (F.col("window").bitwiseAND(1) == 0)
+    return counted.groupBy("word", F.shiftright("window", 1).alias("window")).agg(
+        F.sum(F.when(learned, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("uses"))
 
 
 def _bucket(c: Column) -> Column:
@@ -121,26 +130,18 @@ def _least_bucket(counts: list, capacity: int) -> int:
     return least
 
 
-def trie_entries(counts: DataFrame, order: int, capacity: int) -> DataFrame:
-    """``depth, entry, n`` for the contexts of 0 to ``order`` bytes that the capacity takes in.
-
-    An entry is a context with the byte after it. A context never occurs more often than its own end, so
-    that with a context all shorter ones stay; the empty context always stays.
-    """
-    level = counts.where("window IS NOT NULL").select(F.col("window").alias("entry"), "n")
+def trie_entries(windows_: DataFrame, order: int) -> DataFrame:
+    """``depth, entry, n`` for all contexts of 0 to ``order`` - 1 bytes; an entry is a context with the byte after it."""
+    level = windows_.where("n > 0").select(F.col("window").alias("entry"), "n")
     levels = []
-    for depth in range(order, -1, -1):
+    for depth in range(order - 1, -1, -1):
         level = level.groupBy((F.col("entry").bitwiseAND((1 << 8 * (depth + 1)) - 1)).alias("entry")).agg(F.sum("n").alias("n"))
         level = written(level, f"ppm-depth-{depth}")
-        levels.append(level.withColumn("depth", F.lit(depth)))
+        levels.append(level.select(F.lit(depth).alias("depth"), "entry", "n"))
     entries = levels[0]
     for x in levels[1:]:
         entries = entries.unionByName(x)
-    contexts = entries.groupBy("depth", F.shiftright("entry", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    sizes = contexts.where("depth > 0").groupBy(_bucket(F.col("total")).alias("b")).agg(F.sum("kinds").alias("k")).collect()  # some 250 buckets at most
-    least = _least_bucket([(r.b, r.k) for r in sizes], capacity)
-    kept = contexts.where((F.col("depth") == 0) | (_bucket(F.col("total")) >= least)).select("depth", "context")
-    return entries.withColumn("context", F.shiftright("entry", 8)).join(kept, ["depth", "context"], "left_semi").select("depth", "entry", "n")
+    return entries
 
 
 # ---- the model
@@ -261,6 +262,53 @@ class Ppm:
         return out
 
 
+def _last_first(entry: np.ndarray, order: int) -> np.ndarray:
+    """Contexts of entries with the last byte first, filled up to ``order`` bytes: contexts with a common end are a range."""
+    context, out = entry >> 8, np.zeros(len(entry), np.int64)
+    for k in range(order):
+        out |= ((context >> (8 * k)) & 0xFF) << (8 * (order - 1 - k))
+    return out
+
+
+def window_scores(windows_: DataFrame, order: int, capacity: int) -> DataFrame:
+    """``window, uses, score``: the log10 probability of each window's last byte by all contexts of the counts.
+
+    The order by last bytes is cut into ranges of some ``capacity`` / 4 windows, at whole contexts. All that a
+    range needs is its own windows, and the shorter contexts they end in: those that lie across a border
+    (one a depth and border, of 256 entries at most) go to each range they touch.
+    """
+    spark = windows_.sparkSession
+    total = windows_.count()
+    parts = max(total // max(1, capacity // 4) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drawn = windows_.where(F.pmod(F.xxhash64("window"), F.lit(max(1, total // (64 * parts)))) == 0).select("window").toArrow()  # some 64 a range
+    ends = np.sort(_last_first(drawn.column("window").to_numpy(), order))
+    cuts = np.unique(ends[np.arange(1, parts) * len(ends) // parts]) if len(ends) else ends
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth, entry = (batch.column(c).to_numpy() for c in ("depth", "entry"))
+            low = _last_first(entry, order)
+            first = np.searchsorted(cuts, low, side="right")
+            last = np.searchsorted(cuts, low + (np.int64(1) << (8 * (order - depth.astype(np.int64)))) - 1, side="right")
+            times = last - first + 1
+            row = np.repeat(np.arange(len(entry)), times)
+            part = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            for i in range(0, len(row), 100_000):
+                r = pa.array(row[i:i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(part[i:i + 100_000]), *(c.take(r) for c in batch.columns)], names=["part", *batch.schema.names])
+
+    def work(rows: pa.Table) -> pa.Table:
+        depth, entry, n, uses = (rows.column(c).to_numpy() for c in ("depth", "entry", "n", "uses"))
+        real, own = n > 0, depth == order
+        score = Ppm(depth[real], entry[real], n[real], order).log_probabilities(entry[own])
+        return pa.table({"window": entry[own], "uses": uses[own], "score": score})
+
+    every = windows_.select(F.lit(order).alias("depth"), F.col("window").alias("entry"), "n", "uses").unionByName(
+        trie_entries(windows_, order).withColumn("uses", F.lit(0).cast("long")))
+    dealt = every.mapInArrow(deal, "part long, depth int, entry long, n long, uses long")
+    return dealt.groupBy("part").applyInArrow(work, "window long, uses long, score double")
+
+
 def adaptive_length(text: bytes, order: int = 4) -> float:
     """log10 probability of one text by a model that starts empty and learns each byte after coding it."""
     seen: dict[bytes, dict[int, int]] = {}
@@ -291,7 +339,7 @@ def adaptive_length(text: bytes, order: int = 4) -> float:
 
 # ---- scoring
 
-_MODELS: dict[str, Ppm] = {}
+_MODELS: dict[str, Lookup] = {}
 
 
 def score_texts(docs: DataFrame, learned: Column, key: str = "doc_id", text: str = "text", settings: PpmSettings = PpmSettings()) -> DataFrame:
@@ -305,7 +353,7 @@ def score_texts(docs: DataFrame, learned: Column, key: str = "doc_id", text: str
     spark = docs.sparkSession
     held = ~F.coalesce(learned, F.lit(True))
     base = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), held.alias("held_out"))
-    counts = written(corpus_counts(base.where("NOT held_out").select("t"), settings.order), "ppm-counts")
+    counts = written(corpus_counts(base.select("t", "held_out"), settings.order), "ppm-counts")
 
     words = counts.where("word IS NOT NULL").select("word", "n")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -315,22 +363,30 @@ def score_texts(docs: DataFrame, learned: Column, key: str = "doc_id", text: str
     rare = words.where(_bucket(F.col("n")) < least)
     whole = np.log10(tokens + 0.5 * (kinds + 1))
 
-    entries = trie_entries(counts, settings.order, settings.capacity).toArrow()
-    arrays = [entries.column(c).to_numpy() for c in ("depth", "entry", "n")]
+    coded = written(window_scores(counts.where("window IS NOT NULL").select("window", "n", "uses"), settings.order, settings.capacity), "ppm-windows")
+    sizes = coded.groupBy(_bucket(F.col("uses")).alias("b")).agg(F.count("*").alias("k")).collect()  # some 250 buckets at most
+    least = _least_bucket([(r.b, r.k) for r in sizes], settings.capacity)
+    often = coded.where(_bucket(F.col("uses")) >= least).toArrow()
+    seldom = coded.where(_bucket(F.col("uses")) < least).select(F.col("window").alias("w"), "score")
+    arrays = [often.column(c).to_numpy() for c in ("window", "score")]
     shared = spark.sparkContext.broadcast((arrays, head.column("word").combine_chunks(), head.column("n").to_numpy()))
     order, stamp = settings.order, uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (depth, entry, n), known, known_n = shared.value
+        (keys, values), known, known_n = shared.value
         if stamp not in _MODELS:
             _MODELS.clear()  # before the new one is built: a worker holds one at a time
             pa.default_memory_pool().release_unused()
-            _MODELS[stamp] = Ppm(depth, entry, n, order)
+            _MODELS[stamp] = Lookup(keys, values)
         model, logs = _MODELS[stamp], np.log10(known_n + 0.5)
         for part in slices(batches, "t", 1 << 19):
             texts = part.column("t")
             window, owner = windows(texts, order)
-            score = np.bincount(owner, model.log_probabilities(window), part.num_rows)
+            slot = model.find(window)
+            there = slot >= 0
+            score = np.bincount(owner[there], model.values[0][slot[there]], part.num_rows)
+            late = np.flatnonzero(~there)
+            late_to = np.concatenate([[0], np.cumsum(np.bincount(owner[late], minlength=part.num_rows))]).astype(np.int32)
             flat, n_words = words_of(texts)
             flat = pc.ascii_lower(flat)
             ends = pa.array([END_WORD] * part.num_rows, pa.string())
@@ -347,18 +403,22 @@ def score_texts(docs: DataFrame, learned: Column, key: str = "doc_id", text: str
                 pa.array(np.bincount(row[there], minlength=part.num_rows).astype(np.int64)),
                 pa.array(np.bincount(row[there], logs[hit], part.num_rows).astype(np.float64)), pa.array(score.astype(np.float64)),
                 pa.ListArray.from_arrays(pa.array(to), flat.take(pa.array(rest))),
-            ], names=["k", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+                pa.ListArray.from_arrays(pa.array(late_to), pa.array(window[late])),
+            ], names=["k", "held_out", "n_tokens", "n_known", "base", "score", "rest", "late"])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<string>"
+    schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<string>, late array<long>"
     # written first: a row number is then the same whenever it is read
     scored = written(base.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "ppm-rows")
     tail = (scored.select("row", F.explode("rest").alias("word")).join(rare, "word", "left")
             .groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_base")))
-    return scored.drop("rest").join(tail, "row", "left").select(
+    late = (scored.select("row", F.explode("late").alias("w")).join(seldom, "w")
+            .groupBy("row").agg(F.sum("score").alias("late_score")))
+    return scored.drop("rest", "late").join(tail, "row", "left").join(late, "row", "left").select(
         F.col("k").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(whole))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rest_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(whole))).alias("base_score"),
+        (F.col("score") + F.coalesce("late_score", F.lit(0.0))).alias("score"))
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

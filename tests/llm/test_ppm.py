@@ -101,6 +101,15 @@ def test_small_capacity_keeps_whole_contexts(spark, odd):
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("capacity", [1, 40, 1 << 20])
+def test_capacity_drops_no_context(spark, odd, capacity):
+    got = score_texts(odd, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, settings=PpmSettings(capacity=capacity)).collect()
+    rows = odd.collect()
+    seen = trained([r.text or "" for r in rows if r.doc_id is None or crc32(str(r.doc_id).encode()) % 5 != 1], 5)
+    want = sorted((str(r.doc_id), round(brute(seen, r.text or "", 5), 6)) for r in rows)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
 def test_nothing_to_learn_and_no_rows(spark, odd):
     got = score_texts(odd, F.lit(False)).collect()
     assert {r.n_known for r in got} == {0} and {r.train_tokens for r in got} == {0}
