@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, a bound by common words, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import slices, table, text_or_empty, words_of
 
+#: Seed entries looked at together; a text with more is looked at alone.
+TOGETHER = 1 << 20
 TRIMMED = ".,;:!?\"'()[]{}<>«»“”„‘’…|*_-–—"
 
 
@@ -49,6 +51,7 @@ class Block:
         self.vocabulary = coded.dictionary
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.items = np.split(codes, np.cumsum(counts)[:-1]) if len(counts) else []
+        self.bags = [np.unique(x, return_counts=True) for x in self.items]
         key, doc, place = self.grams(codes, counts)
         by = np.argsort(key, kind="stable")
         self.key, self.item, self.place = key[by], doc[by], place[by]
@@ -82,17 +85,12 @@ class Block:
         high = np.searchsorted(self.key, key[hit], side="right")
         return codes, np.concatenate([[0], np.cumsum(counts)]), doc[hit], place[hit], low[hit], high
 
-    def keep_rare(self, seen: dict[int, int]) -> None:
-        """Drop from each item the seeds that far more documents have than its rarer ones.
-
-        The measure is the item's own quartile: an item that a third of all documents copy keeps its seeds.
-        """
-        often = np.array([seen.get(k, 0) for k in self.key.tolist()], np.float64)
-        keep = np.zeros(len(often), bool)
-        by = np.argsort(self.item, kind="stable")
-        for own in np.split(by, np.flatnonzero(np.diff(self.item[by])) + 1):
-            keep[own] = often[own] <= 4 * np.quantile(often[own], 0.25) + 10
-        self.key, self.item, self.place = self.key[keep], self.item[keep], self.place[keep]
+    def in_common(self, i: int, words: np.ndarray) -> int:
+        """How many words of item ``i`` are in ``words``, each as often as in both: no alignment scores more."""
+        own, n = self.bags[i]
+        at = np.searchsorted(own, words)
+        at = at[own[np.minimum(at, len(own) - 1)] == words]
+        return int(np.minimum(np.bincount(at, minlength=len(own)), n).sum())
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -119,6 +117,20 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 def leaks_in(block: Block, texts: pa.Array, settings: LeakSettings) -> list[tuple[int, int, int, float, int, int]]:
     """Text, item, score, share and words of the best passage, for every text and item that reach the least."""
     codes, starts, doc, place, low, high = block.found(texts)
+    ends = np.cumsum(high - low)
+    out, start = [], 0
+    while start < len(doc):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, side="right"))
+        if stop < len(doc):  # whole texts, one at least
+            stop = int(np.searchsorted(doc, doc[stop]))
+            stop = stop if stop > start else int(np.searchsorted(doc, doc[start], side="right"))
+        out += _aligned(block, codes, starts, *(x[start:stop] for x in (doc, place, low, high)), settings)
+        start = stop
+    return out
+
+
+def _aligned(block: Block, codes: np.ndarray, starts: np.ndarray, doc: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray,
+             settings: LeakSettings) -> list[tuple[int, int, int, float, int, int]]:
     size = high - low
     entry = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     doc, place, item = np.repeat(doc, size), np.repeat(place, size), block.item[entry]
@@ -130,19 +142,22 @@ def leaks_in(block: Block, texts: pa.Array, settings: LeakSettings) -> list[tupl
     for group in np.split(np.arange(len(doc)), edges) if len(doc) else []:
         d, i = int(doc[group[0]]), int(item[group[0]])
         words, length = codes[starts[d]:starts[d + 1]], len(block.items[i])
+        least = max(min(settings.least_score, settings.least_share * length), min(length, settings.seed_words + 1))
         best = (0, 0, 0)
         gaps = np.flatnonzero(np.diff(begin[group]) > 3 * length) + 1
         for part in np.split(group, gaps):
             a, b = max(0, int(begin[part[0]]) - length), min(len(words), int(begin[part[-1]]) + 2 * length)
+            if block.in_common(i, words[a:b]) < least:
+                continue
             score, s, e = align(block.items[i], words[a:b])
             best = max(best, (score, -(a + s), a + e))
-        if best[0] >= min(settings.least_score, settings.least_share * length) and best[0] >= min(length, settings.seed_words + 1):
+        if best[0] >= least:
             out.append((d, i, best[0], best[0] / length, -best[1], best[2]))
     return out
 
 
-def blocks_of(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, settings: LeakSettings) -> Iterator[Broadcast]:
-    """The test items in blocks of bounded size, each with its rare seeds, counted over all of ``docs``."""
+def blocks_of(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, settings: LeakSettings) -> Iterator[Broadcast]:
+    """The test items in blocks of bounded size, each with all its seeds."""
     spark = docs.sparkSession
     items = items.select(F.col(item_key).alias("i"), text_or_empty(item_text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.length("t") / 5 + 1), F.lit(0))).first()[0]
@@ -152,20 +167,6 @@ def blocks_of(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_
         block = Block(own.column("i").to_pylist(), own.column("t").to_pylist(), settings.seed_words)
         if not len(block.key):
             continue
-        shared = spark.sparkContext.broadcast(block)
-
-        def seen(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            total: dict[int, int] = {}
-            for part in slices(batches, "t"):
-                _, _, doc, _, low, _ = shared.value.found(part.column("t"))
-                once = np.unique(doc.astype(np.int64) * (len(shared.value.key) + 1) + low)
-                at, n = np.unique(once % (len(shared.value.key) + 1), return_counts=True)
-                for key, x in zip(shared.value.key[at].tolist(), n.tolist()):
-                    total[key] = total.get(key, 0) + x
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["key", "n"])
-
-        rows = docs.select(text_or_empty(text).alias("t")).mapInArrow(seen, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        block.keep_rare(dict(rows.toPandas().itertuples(index=False, name=None)))  # a row for each seed of the block at most
         yield spark.sparkContext.broadcast(block)
 
 
@@ -177,14 +178,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     each pair. Null or empty texts and items, and items of fewer words than a seed, match nothing. Null
     keys and repeated rows give rows of their own. Other columns are not carried. Items that don't fit
     one block are looked for block by block, each in its own pass over all documents: no join, no
-    shuffle but for the counts of seeds.
+    shuffle. All seeds of an item count, however many documents have them.
     """
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
     schema = f"k {kinds[0]}, i {kinds[1]}, score long, share double, first_word long, end_word long"
     base = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
     arrow = items.select(item_key).limit(0).toArrow().schema.field(0).type
     found = docs.sparkSession.createDataFrame([], schema)
-    for shared in blocks_of(docs, text, items, item_key, item_text, settings):
+    for shared in blocks_of(docs, items, item_key, item_text, settings):
         def work(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for part in slices(batches, "t"):
@@ -203,7 +204,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
                settings: LeakSettings = LeakSettings()) -> DataFrame:
     """The rows of ``docs`` that hold no copy of a test item, with all their columns."""
     rest = docs
-    for shared in blocks_of(docs, text, items, item_key, item_text, settings):
+    for shared in blocks_of(docs, items, item_key, item_text, settings):
         def work(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text):
                 clean = np.ones(part.num_rows, bool)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanloom.llm.decontaminate import LeakSettings, align, drop_leaks, find_leaks, plain_words
+from spanloom.llm.decontaminate import Block, LeakSettings, align, drop_leaks, find_leaks, leaks_in, plain_words
 
 R = random.Random(5)
 VOCAB = [f"w{i}{chr(97 + i % 26)}" for i in range(400)]
@@ -66,3 +66,17 @@ def test_like_brute_force(spark, odd, block):
     kept = drop_leaks(docs, items, settings=s)
     assert kept.count() == docs.where(~docs.doc_id.isin(sorted(leaked)) | docs.doc_id.isNull()).count()
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("together", [1 << 20, 7])
+def test_many_copies_of_a_part_are_all_found(spark, together, monkeypatch):
+    monkeypatch.setattr("spanloom.llm.decontaminate.TOGETHER", together)
+    item = [f"part{i}" for i in range(40)]
+    rows = [(i, " ".join(some(R.randint(0, 30)) + item[:24] + some(R.randint(0, 30)))) for i in range(1000)]
+    docs = spark.createDataFrame([*rows, (1000, " ".join(some(60)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in find_leaks(docs, items).collect()}
+    assert got == {i: 24 for i in range(1000)}
+    assert [r.doc_id for r in drop_leaks(docs, items).collect()] == [1000]
+    block = Block([1], [" ".join(item)], 3)
+    assert len(leaks_in(block, pa.array([t for _, t in rows]), LeakSettings())) == 1000
