@@ -52,7 +52,8 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     grams = np.zeros(len(h), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(words):
-            grams[:len(h) - k] = mixed(grams[:len(h) - k] * M3 + h[k:])
+            room = max(0, len(h) - k)
+            grams[:room] = mixed(grams[:room] * M3 + h[k:])
     for i, (n, end) in enumerate(zip(counts.tolist(), ends.tolist())):
         if n >= words:
             own = np.unique(grams[end - n:end - words + 1])

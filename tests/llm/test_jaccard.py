@@ -115,3 +115,14 @@ def test_components(spark):
     got = {r.v: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {i: 0 for i in range(41)} | dict.fromkeys([100, 103, 104, 105], 100) | {200 + i: 200 for i in range(50)}
     assert got == want
+
+
+@pytest.mark.parametrize("words", range(8))
+def test_fewer_words_in_all_than_a_shingle(words):
+    texts = pa.array([" ".join(f"w{i}" for i in range(words))])
+    assert shingle_sets(texts, 5)[1].tolist() == [min(words, max(1, words - 4))]
+
+
+def test_keep_one_of_one_short_document(spark):
+    one = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    assert [tuple(r) for r in J.keep_one(one).collect()] == [(1, "two words")]
