@@ -154,6 +154,14 @@ def _(s, d):
     return nb.local_outlier_factor(near, "g", 5).select(F.col("g").alias("grp"), "id", F.round("lof", 4).alias("lof"))
 
 
+@query("metric_outliers_lof_all", "2.9.16")
+def _(s, d):
+    """Over all metrics, where the SQL of metric_outliers_lof has one; tests hold it against brute force."""
+    rows = gr.finite(values(s, d)).select(F.concat_ws("|", "group_id", "metric").alias("g"), "id", F.array("value").alias("vector"))
+    near = nb.group_neighbours(rows, "g", 5)
+    return nb.local_outlier_factor(near, "g", 5).select(F.col("g").alias("grp"), "id", F.round("lof", 4).alias("lof"))
+
+
 @query("chart_sessions", "2.10.8", "2.10.10", sql="SELECT DISTINCT application_id, agent, period, session_key FROM slots")
 def _(s, d):
     from spanloom.operators import metrics as m
