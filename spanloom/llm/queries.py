@@ -15,6 +15,7 @@ from spanloom.llm.pieces import op10_pieces
 from spanloom.llm.ppm import op4_ppm
 from spanloom.llm.quality import op3_repetition
 from spanloom.llm.repeats import op9_repeats
+from spanloom.llm.runs import op12_runs
 from spanloom.llm.secrets import op6_linked_secrets
 from spanloom.llm.shards import op5_training_order
 from spanloom.session import ship_package
@@ -30,6 +31,7 @@ _BY_NAME = {
     "op8_line_copies": op8_line_copies,
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
+    "op12_runs": op12_runs,
 }
 
 
@@ -44,6 +46,16 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {name: _shipped(query) for name, query in _BY_NAME.items()}
 
+#: CRC-32 in DuckDB SQL: a common table of 256 remainders, and the unsigned sum of an ASCII text over it.
+_CRC_TABLE = """crc_table AS (SELECT list(r ORDER BY x) AS t FROM (SELECT x, list_reduce([x::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+ lambda v, o: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END) AS r FROM range(256) b(x)))"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1),
+ lambda i: ascii(substr({text}, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
 #: DuckDB SQL where it can say the result on whole tables: suffix arrays, models, alignments, page trees,
 #: permutations and paths it can't, and edit distances of all lines take it too long. Tests hold those
 #: queries against brute force.
@@ -67,4 +79,21 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_lengt
  t AS (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY a))) AS kept_sha256 FROM k GROUP BY 1)
 SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed, coalesce(x.spans, 0) AS n_spans, t.kept_sha256
 FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM r GROUP BY 1) x USING (doc_id)""",
+    "op12_runs": rf"""
+WITH {_CRC_TABLE},
+ d AS (SELECT row_number() OVER () AS rid, doc_id, {_crc("doc_id::VARCHAR")} AS h,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents, crc_table),
+ e AS (SELECT *, len(w) AS n, coalesce(h % 10 = 0 AND len(w) > 0, false) AS hit, (h // 10) % len(w) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+ x AS (SELECT rid, i, CASE WHEN hit AND i >= a THEN w[1 + a + (i - a) % (1 + (n - a) // parts)] ELSE w[1 + i] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+ g AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS s
+  FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
+ p AS (SELECT u.rid, v.i - u.i AS q, u.i FROM g u JOIN g v ON u.rid = v.rid AND u.s = v.s AND u.i < v.i),
+ c AS (SELECT rid, q, min(i) AS s, count(*) + 4 + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM p)
+  GROUP BY rid, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+ r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = c.rid AND b.q < c.q AND b.s <= c.s AND b.s + b.len >= c.s + c.len)),
+ k AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = x.rid AND x.i >= r.s + r.q AND x.i < r.s + r.len) GROUP BY rid),
+ b AS (SELECT rid, count(*) AS n_runs, first(s ORDER BY len / q DESC, s, q) AS start, first(len ORDER BY len / q DESC, s, q) AS length, first(q ORDER BY len / q DESC, s, q) AS period,
+  string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+ sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM e LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)""",
 }
