@@ -18,6 +18,7 @@ from spanloom.llm.repeats import op9_repeats
 from spanloom.llm.runs import op12_runs
 from spanloom.llm.secrets import op6_linked_secrets
 from spanloom.llm.shards import op5_training_order
+from spanloom.llm.turns import op11_repair
 from spanloom.session import ship_package
 
 _BY_NAME = {
@@ -31,6 +32,7 @@ _BY_NAME = {
     "op8_line_copies": op8_line_copies,
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
+    "op11_repair": op11_repair,
     "op12_runs": op12_runs,
 }
 
@@ -79,6 +81,36 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_lengt
  t AS (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY a))) AS kept_sha256 FROM k GROUP BY 1)
 SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed, coalesce(x.spans, 0) AS n_spans, t.kept_sha256
 FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM r GROUP BY 1) x USING (doc_id)""",
+    "op11_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+ b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+ h AS (SELECT *, {_crc("name")} % 20 AS kind FROM b, crc_table),
+ x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+ r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS real FROM x),
+ f AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS initial_before,
+  CASE WHEN real = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(real, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+ ins(s, t, c, l, o) AS (VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']),
+  (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+ dp(conv_id, i, s, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'kept': []::VARCHAR[]}} FROM conversations
+  UNION ALL
+  SELECT conv_id, i, s, min(best) FROM (
+   SELECT f.conv_id, f.i, e.s, {{'cost': dp.best.cost + ins.c + e.c, 'audit': dp.best.audit || ins.l || e.l, 'kept': list_concat(list_concat(dp.best.kept, ins.o), e.o)}} AS best
+   FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.s = dp.s,
+    LATERAL (SELECT ins.t AS s, 2 AS c, 'D' AS l, []::VARCHAR[] AS o
+     UNION ALL SELECT CASE ins.t WHEN 2 THEN 3 ELSE 2 END, 1 + CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END, 'R', [CASE ins.t WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text]
+      WHERE f.fault NOT IN ('blank', 'duplicate')
+     UNION ALL SELECT CASE f.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [f.role || ':' || f.text]
+      WHERE f.fault NOT IN ('blank', 'duplicate') AND ((f.initial = 's' AND ins.t = 0) OR (f.initial = 'u' AND ins.t <> 2) OR (f.initial = 'a' AND ins.t = 2))) e) GROUP BY ALL),
+ n AS (SELECT conv_id, max(i) AS n FROM dp GROUP BY 1),
+ z AS (SELECT dp.conv_id, min({{'cost': best.cost + ins.c, 'audit': best.audit || ins.l, 'kept': list_concat(best.kept, ins.o)}}) AS best
+  FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.s = dp.s WHERE ins.t IN (0, 3) GROUP BY 1),
+ t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.kept, chr(10))) AS repaired_sha256 FROM z LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM z.conv_id""",
     "op12_runs": rf"""
 WITH {_CRC_TABLE},
  d AS (SELECT row_number() OVER () AS rid, doc_id, {_crc("doc_id::VARCHAR")} AS h,
