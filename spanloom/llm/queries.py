@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.common import LOWER, UPPER
 from spanloom.llm.decontaminate import op2_leaks
+from spanloom.llm.fingerprints import op13_fingerprints
 from spanloom.llm.jaccard import op1_jaccard
 from spanloom.llm.lines import op8_line_copies
 from spanloom.llm.pages import op7_main_text
@@ -34,6 +35,7 @@ _BY_NAME = {
     "op10_pieces": op10_pieces,
     "op11_repair": op11_repair,
     "op12_runs": op12_runs,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 
