@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +16,18 @@ SAMPLES = 64
 TOGETHER = 16
 
 #: Text that one task works on, the buckets a task has on average, and the most buckets (a list of 128 KB).
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 BUCKETS_PER_TASK = 4
 MOST_BUCKETS = 16_384
 
-_BITS = 21
-_LOW = (1 << _BITS) - 1
+_ODD = (1 << 22) - 2
 _TAG = (1 << 31) - 1
 
 
-def _uniform(bits: Column) -> Column:
-    """21 bits as a number between 0 and 1, neither included."""
-    return (bits.bitwiseAND(F.lit(_LOW)) + F.lit(0.5)) * F.lit(2.0 ** -_BITS)
+def _gamma(bits: Column) -> Column:
+    """A draw from Gamma(2, 1): minus the logarithm of a product of two uniform numbers, odd parts of 2 ** 22 of 44 bits."""
+    odd = lambda b: b.bitwiseAND(F.lit(_ODD)).bitwiseOR(F.lit(1))
+    return F.lit(44 * math.log(2)) - F.log((odd(bits) * odd(F.shiftright(bits, 22))).cast("double"))
 
 
 def sample(term: Column, ln_weight: Column, k: Column) -> Column:
@@ -38,10 +40,9 @@ def sample(term: Column, ln_weight: Column, k: Column) -> Column:
     weights between 1e-40 and 1e12 stay inside the number.
     """
     first = F.xxhash64(term, k)
-    second = F.xxhash64(first, term)
-    r = -F.log(_uniform(first) * _uniform(F.shiftright(first, _BITS)))
-    ln_c = F.log(-F.log(_uniform(F.shiftright(first, 2 * _BITS)) * _uniform(F.shiftright(second, 43))))
-    b = _uniform(F.shiftright(second, 22))
+    second = F.xxhash64(first)
+    r, ln_c = _gamma(first), F.log(_gamma(second))
+    b = F.shiftrightunsigned(first, 43).cast("double") * F.lit(2.0 ** -21)
     t = F.floor(ln_weight / r + b)
     value = F.floor((ln_c - r * (t - b + 1) + 80) * F.lit(float(1 << 23)))
     return F.shiftleft(value, 31).bitwiseOR(second.bitwiseXOR(t).bitwiseAND(F.lit(_TAG)))
