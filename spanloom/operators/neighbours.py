@@ -30,7 +30,8 @@ def group_neighbours(points: DataFrame, key: str, k: int, block_rows: int = BLOC
                 for i, row in enumerate(x):
                     d = np.sqrt(((y - row) ** 2).sum(1))
                     d[theirs == mine[i]] = np.inf
-                    best = np.lexsort((theirs.astype(str), d))[:k]
+                    best = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                    best = best[np.lexsort((theirs[best].astype(str), d[best]))][:k]
                     out += [(group, mine[i], theirs[j], d[j]) for j in best if np.isfinite(d[j])]
             yield pd.DataFrame(out, columns=[key, "id", "other", "distance"])
 

@@ -133,6 +133,14 @@ def _(s, d):
     return k.select("application_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
+#: Fixed value: neighbours of the local outlier factor.
+LOF_K = 20
+
+
+def lof_sql(k):
+    return LOF.replace("rn <= 5", f"rn <= {k}")
+
+
 LOF = """
  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, a ORDER BY dd, b) AS rn FROM p) WHERE rn <= 5), kd AS (SELECT g, a, max(dd) AS kd FROM n GROUP BY 1, 2),
  de AS (SELECT n.g, n.a, 1 / (avg(greatest(n.dd, kd.kd)) + 1e-10) AS de FROM n JOIN kd ON kd.g = n.g AND kd.a = n.b GROUP BY 1, 2)
@@ -147,16 +155,17 @@ def _(s, d):
 
 
 @query("metric_outliers_lof", "2.9.16", sql="""
-WITH p AS (SELECT x.group_id || '|' || x.metric AS g, x.id AS a, y.id AS b, abs(x.value - y.value) AS dd FROM gvals x JOIN gvals y ON x.group_id = y.group_id AND x.metric = y.metric AND x.id <> y.id WHERE x.metric = 'Cost'),""" + LOF)
+WITH f AS (SELECT * FROM gvals WHERE isfinite(value)),
+ p AS (SELECT x.group_id || '|' || x.metric AS g, x.id AS a, y.id AS b, abs(x.value - y.value) AS dd FROM f x JOIN f y ON x.group_id = y.group_id AND x.metric = y.metric AND x.id <> y.id),""" + lof_sql(LOF_K))
 def _(s, d):
-    rows = gr.finite(values(s, d).where("metric = 'Cost'")).select(F.concat_ws("|", "group_id", "metric").alias("g"), "id", F.array("value").alias("vector"))
-    near = nb.group_neighbours(rows, "g", 5)
-    return nb.local_outlier_factor(near, "g", 5).select(F.col("g").alias("grp"), "id", F.round("lof", 4).alias("lof"))
+    rows = gr.finite(values(s, d)).select(F.concat_ws("|", "group_id", "metric").alias("g"), "id", F.array("value").alias("vector"))
+    near = nb.group_neighbours(rows, "g", LOF_K)
+    return nb.local_outlier_factor(near, "g", LOF_K).select(F.col("g").alias("grp"), "id", F.round("lof", 4).alias("lof"))
 
 
 @query("metric_outliers_lof_all", "2.9.16")
 def _(s, d):
-    """Over all metrics, where the SQL of metric_outliers_lof has one; tests hold it against brute force."""
+    """With five neighbours; tests hold it against brute force."""
     rows = gr.finite(values(s, d)).select(F.concat_ws("|", "group_id", "metric").alias("g"), "id", F.array("value").alias("vector"))
     near = nb.group_neighbours(rows, "g", 5)
     return nb.local_outlier_factor(near, "g", 5).select(F.col("g").alias("grp"), "id", F.round("lof", 4).alias("lof"))
