@@ -94,11 +94,11 @@ def _(s, d):
 
 
 @query("graph_container_states", "2.5.13", sql="""
-SELECT edge_type, from_id, to_id FROM (
- SELECT 'hasInitialState' AS edge_type, owner AS from_id, s0 AS to_id FROM g_box UNION ALL SELECT 'hasFinalState', owner, s1 FROM g_box)""")
+SELECT DISTINCT unnest(['hasInitialState', 'hasState', 'hasFinalState', 'hasState', 'inputTo', 'leadsTo', 'correspondsToTransition', 'representsExecution']) AS edge_type,
+ unnest([owner, owner, owner, owner, s0, tr, owner, tr]) AS from_id, unnest([s0, s0, s1, s1, tr, s1, tr, owner]) AS to_id FROM g_box""")
 def _(s, d):
     _, edges = gb.container_states(call_table(s, d))
-    return edges.where("edge_type IN ('hasInitialState', 'hasFinalState')")
+    return edges.select("edge_type", "from_id", "to_id").distinct()
 
 
 @query("graph_nodes", "2.5.14", sql="""

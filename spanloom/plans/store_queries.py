@@ -67,10 +67,12 @@ def _(s, d):
     return docs.select("id", "session_id", "metric")
 
 
-@query("trajectory_file_source", "2.1.4", "2.1.17", sql="SELECT span_id, session_id FROM flat WHERE kind = 'tool'")
+@query("trajectory_file_source", "2.1.4", "2.1.17", sql="SELECT span_id, session_id FROM flat")
 def _(s, d):
+    """All spans; those of tools name their session in their attributes only."""
     path = scratch(s, "trajectories")
-    rows = spans(s, d).where("span_name LIKE '%.tool'").select(F.col("span_id").alias("SpanId"), F.col("span_name").alias("name"), F.col("ts").cast("string").alias("timestamp"), F.col("attrs").alias("attributes"))
+    own = F.when(~F.col("span_name").endswith(".tool"), F.col("session_id")).alias("SessionId")
+    rows = spans(s, d).select(F.col("span_id").alias("SpanId"), F.col("span_name").alias("name"), F.col("ts").cast("string").alias("timestamp"), F.col("attrs").alias("attributes"), own)
     sk.export(rows, path)
     return rd.read_trajectories(s, path).select("span_id", "session_id")
 

@@ -147,6 +147,20 @@ def _(s, d):
     return out.select("session_key", "ref_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("neighbour_metrics", "2.3.14", sql=f"""
+SELECT n.session_key, ref_id, round(distance, 6) AS distance, rank, metric, round(avg(result), 6) AS value FROM (SELECT v.session_key, c.group_id AS ref_id, {COS.format(a='v.vector', b='c.c')} AS distance,
+ row_number() OVER (PARTITION BY c.group_id ORDER BY {COS.format(a='v.vector', b='c.c')}, v.session_key) AS rank FROM vectors v, centroids c) n LEFT JOIN metric_rows m ON n.session_key = 'v' || regexp_extract(m.session_key, 's(\\d+)w', 1)
+WHERE distance <= 1.0 AND rank <= 10 GROUP BY ALL""")
+def _(s, d):
+    v = table(s, d, "vectors")
+    refs = mean_vector(v, ["group_id"], "vector").select(F.col("group_id").alias("ref_id"), F.col("centroid").alias("vector"))
+    near = tv.within_radius(v, refs, 1.0, 10).select("session_key", "ref_id", F.round("distance", 6).alias("distance"), "rank")
+    # the vectors of these tables stand for the sessions of the user of their number
+    user = F.concat(F.lit("v"), F.regexp_extract("session_key", r"s(\d+)w", 1))
+    rows = near.join(table(s, d, "metric_rows").select(user.alias("session_key"), "metric", "result"), "session_key", "left")
+    return rows.groupBy("session_key", "ref_id", "distance", "rank", "metric").agg(F.round(F.avg("result"), 6).alias("value"))
+
+
 @query("nearest_centroid", "2.3.15", sql=f"""
 SELECT session_key, group_id AS ref_id, round(dd, 6) AS distance FROM (SELECT v.session_key, c.group_id, {COS.format(a='v.vector', b='c.c')} AS dd,
  row_number() OVER (PARTITION BY v.session_key ORDER BY {COS.format(a='v.vector', b='c.c')}, c.group_id) AS rn

@@ -75,10 +75,10 @@ NEW = "(SELECT {0}, arg_max(k, struct_pack(t := ts, s := span_id)) AS k, arg_max
 
 
 @query("application_topology", "2.10.6", sql=f"""
-SELECT application_id, 'agent' || CAST(k % 4 AS VARCHAR) || '.invoke' AS agent, '__start__' AS source FROM {NEW.format('application_id')}""")
+SELECT application_id, unnest([a, '__end__']) AS agent, unnest(['__start__', a]) AS source FROM (SELECT application_id, 'agent' || CAST(k % 4 AS VARCHAR) || '.invoke' AS a FROM {NEW.format('application_id')})""")
 def _(s, d):
     _, edges = v.topology(spans(s, d), "application_id")
-    return edges.where("source = '__start__'").select("application_id", F.col("target").alias("agent"), "source")
+    return edges.select("application_id", F.col("target").alias("agent"), "source")
 
 
 @query("session_topology_nodes", "2.10.6", sql=f"""

@@ -55,7 +55,7 @@ def read_trajectories(spark: SparkSession, path: str, layout: str = "lines", env
 
     Exports differ in the case of their keys, so spans are read as maps and keys looked up exactly.
     """
-    raw = spark.read.option("wholetext", layout != "lines").text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=layout != "lines").withColumn("file", F.input_file_name())
     raw = raw.where(F.trim("value") != "")
     if layout == "lines":
         rows = raw.select("file", F.from_json("value", _MAP).alias("s"))
