@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,43 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+#: What this worker keeps from task to task: one thing of one owner.
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this worker until another owner keeps something or a lean task starts."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drop what is kept and give memory that is no longer used back to the system; workers outlive their stage."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task that starts without what earlier stages left in the worker, and leaves nothing itself."""
+
+    @wraps(work)
+    def run(*args: Any, **kw: Any) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from work(*args, **kw)
+        finally:
+            release()
+
+    return run
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts in one array, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

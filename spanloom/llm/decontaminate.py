@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, table, text_or_empty, words_of
+from spanloom.llm.common import lean, slices, table, text_or_empty, words_of
 
 #: Seed entries looked at together; a text with more is looked at alone.
 TOGETHER = 1 << 20
@@ -186,6 +186,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     arrow = items.select(item_key).limit(0).toArrow().schema.field(0).type
     found = docs.sparkSession.createDataFrame([], schema)
     for shared in blocks_of(docs, items, item_key, item_text, settings):
+        @lean
         def work(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for part in slices(batches, "t"):
@@ -205,6 +206,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     """The rows of ``docs`` that hold no copy of a test item, with all their columns."""
     rest = docs
     for shared in blocks_of(docs, items, item_key, item_text, settings):
+        @lean
         def work(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text):
                 clean = np.ones(part.num_rows, bool)

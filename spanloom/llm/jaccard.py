@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import codes_of, slices, table, text_or_empty, words_of
+from spanloom.llm.common import codes_of, lean, slices, table, text_or_empty, words_of
 from spanloom.llm.components import connected
 from spanloom.session import written
 
@@ -287,6 +287,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     base = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), _place(key, text).alias("p"))
     kind, words, percent = docs.schema[key].dataType.simpleString(), settings.words, settings.percent
 
+    @lean
     def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets, sizes = shingle_sets(part.column("t"), words)
@@ -300,6 +301,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     by_band = counted.withColumn("b", sum((F.col("n") >= s).cast("int") for s in starts) - 1).groupBy("b").agg(F.sum("c").alias("c")).collect()
     plan = Plan(largest, percent, {r.b: r.c for r in by_band})
 
+    @lean
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets, sizes = shingle_sets(part.column("t"), words)
@@ -314,6 +316,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     chosen = known.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("p").alias("p"))
     some = base.join(chosen, "p", "left_semi")
 
+    @lean
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets, sizes = shingle_sets(part.column("t"), words)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, table, text_or_empty
+from spanloom.llm.common import kept, slices, table, text_or_empty
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -148,16 +148,9 @@ class Coder:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-_CODERS: dict[int, Coder] = {}
-
-
 def _coder(pieces: Pieces) -> Coder:
-    """One coder per worker and vocabulary, so that what it remembers outlives a task."""
-    key = hash((pieces.size, pieces.first_byte, pieces.spelled))
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(pieces)
-    return _CODERS[key]
+    """One coder per worker and vocabulary, so that what it remembers outlives a task, but not the stage."""
+    return kept(("pieces", hash((pieces.size, pieces.first_byte, pieces.spelled))), lambda: Coder(pieces))
 
 
 def encode_texts(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:

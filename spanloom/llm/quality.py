@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bytes_of, codes_of, slices, table, text_or_empty, words_of
+from spanloom.llm.common import bytes_of, codes_of, lean, slices, table, text_or_empty, words_of
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,9 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+#: Bytes of text whose suffixes are sorted at once: ranks of every doubling are held, some thirty times as much.
+TOGETHER = 3 << 20
+
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
 
@@ -165,8 +168,9 @@ def repeat_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     empty table gives no rows.
     """
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", TOGETHER):
             got = measure(part.column("t"), limits.span_words)
             columns = [part.column("k"), *(pa.array(got[m], pa.int64()) for m in MEASURES)]
             names = ["k", *MEASURES]
@@ -199,8 +203,9 @@ def verdict(got: dict[str, np.ndarray], limits: RepeatLimits) -> np.ndarray:
 def keep_good(docs: DataFrame, text: str = "text", limits: RepeatLimits = RepeatLimits()) -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns; no shuffle, every row judged by itself."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, TOGETHER):
             yield part.filter(pa.array(verdict(measure(part.column(text), limits.span_words), limits)))
 
     return docs.mapInArrow(work, docs.schema)
