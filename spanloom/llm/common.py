@@ -87,6 +87,12 @@ def lean(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterato
     return run
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, on which Spark deletes the shuffle files of writes that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts in one array, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import codes_of, lean, slices, table, text_or_empty, words_of
+from spanloom.llm.common import codes_of, free_shuffles, lean, slices, table, text_or_empty, words_of
 from spanloom.llm.components import connected
 from spanloom.session import written
 
@@ -312,9 +312,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     met = written(shared_keys(base.select("t").mapInArrow(indexed, "key long, v long")), "jaccard-keys")
     wanted = met.select("v").distinct()
-    # a text for each set that shares a key; equal sets have the same one
+    # a text for each set that shares a key; equal sets have the same one, so sets are made once and not moved
     chosen = known.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("p").alias("p"))
-    some = base.join(chosen, "p", "left_semi")
+    some = base.join(chosen, "p", "left_semi").dropDuplicates(["p"])
 
     @lean
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,8 +326,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
                 _hashes(sets, sizes), pa.array(sizes), pa.array(plan.band(np.maximum(sizes, 1))), pa.array(own, pa.binary()), pa.array(below, pa.binary()),
                 pa.ListArray.from_arrays(to, pa.array(sets.view(np.int64)))], names=["v", "n", "band", "own", "below", "s"])
 
-    sets = written(some.mapInArrow(described, "v long, n long, band long, own binary, below binary, s array<long>")
-                   .join(wanted, "v", "left_semi").dropDuplicates(["v"]), "jaccard-sets")
+    free_shuffles(docs.sparkSession)
+    sets = written(some.mapInArrow(described, "v long, n long, band long, own binary, below binary, s array<long>"), "jaccard-sets")
+    free_shuffles(docs.sparkSession)
 
     band_of = F.shiftrightunsigned("key", 56)
 
@@ -364,6 +365,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
                 .mapInArrow(work, "a long, b long").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
+        free_shuffles(docs.sparkSession)
         sized = sets.select("v", "n", "s")
         joined = (pairs.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b"))
         both = F.size(F.array_intersect("sa", "sb"))
