@@ -109,12 +109,11 @@ def trajectory_scores(failures: DataFrame, intents: DataFrame, sessions: DataFra
 
 # Wording that marks a reply as failed, waiting, asking, unable or out of scope.
 DELEGATION_FAILED = r"(?i)^\s*\[delegation\][^\n]*\bfailed\b"
-_TILL = r"(?:provides?|responds?|returns?|replies|reply|is available|has (?:provided|finished))\b"
 WAITING = (
     r"(?i)\b(?:I|we)(?:'ll| will| shall| am going to| are going to) wait\b"
     r"|\b(?:I|we)(?:'m| am|'re| are) (?:still |currently )?waiting\b"
-    r"|\b(?:I|we)(?:'ll| will| can)\b[^.\n]{0,80}?\bonce (?!you\b)(?:the |an? )?[\w -]{0,40}?" + _TILL +
-    r"|\bonce (?!you\b)(?:the |an? )?[\w -]{0,40}?" + _TILL + r"[^.\n]{0,80}?\b(?:I|we)(?:'ll| will| can)\b"
+    r"|\b(?:I|we)(?:'ll| will| can)\b[^.\n]{0,80}?\bonce (?!you\b)(?:the |an? )?[\w -]{0,40}?(?:provides?|responds?|returns?|replies|reply|is available|has (?:provided|finished))\b"
+    r"|\bonce (?!you\b)(?:the |an? )?[\w -]{0,40}?(?:provides?|responds?|returns?|replies|reply|is available|has (?:provided|finished))\b[^.\n]{0,80}?\b(?:I|we)(?:'ll| will| can)\b"
 )
 NEEDS_INPUT = (
     r"(?i)\b(?:please (?:provide|share|specify|clarify|send)"

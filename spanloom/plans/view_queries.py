@@ -116,7 +116,6 @@ SELECT f.*, b.p_start, b.p_size, CAST(floor((epoch_us(f.ts) / 1e6 - b.p_start) /
 
 
 def points(s, d):
-    sps = sp.llm_spans  # noqa: F841
     f = table(s, d, "flat").select("application_id", "session_key", "ts")
     return m.with_epoch(f)
 
