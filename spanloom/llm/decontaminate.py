@@ -1,7 +1,8 @@
-"""Benchmark decontamination: n-gram seeds, a bound by common words, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare seeds of two words, bounds that lose no copy, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,16 +22,21 @@ TRIMMED = ".,;:!?\"'()[]{}<>«»“”„‘’…|*_-–—"
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """``seed_words``: n of the seeds. ``least_share``: alignment score, a point for each equal word and one
-    off for each other or skipped word, as a share of the item's words from which a passage is a copy;
-    ``least_score``: or the score itself. ``block_words``: words of test items looked for in one pass.
+    """``least_words``: items of fewer words match nothing, and those of more need a higher score. ``least_share``:
+    alignment score, a point for each equal word and one off for each other or skipped word, as a share
+    of the item's words from which a passage is a copy; ``least_score``: or the score itself.
+    ``block_words``: words of test items looked for in one pass.
     """
 
-    seed_words: int = 3
+    least_words: int = 3
     least_share: float = 0.4
     least_score: int = 13
     block_words: int = 1_000_000
 
+    def least(self, words: int) -> int:
+        """The score from which a passage is a copy of an item of so many words."""
+        return math.ceil(max(min(self.least_score, self.least_share * words), min(words, self.least_words + 1)))
+
 
 def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased words without punctuation around them, and how many each text has."""
@@ -42,48 +48,53 @@ def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Block:
-    """Test items of one block: words as codes, and where each seed occurs in which item."""
+    """Test items of one block: words as codes, and where each pair of neighbouring words occurs in which item.
+
+    An alignment of score s has runs of equal words with a point off between any two, so its runs hold
+    s - 1 pairs of neighbouring words or more: a passage with fewer holds no copy. And of an item's
+    pairs any s - 2 can be left out as seeds: one of the others is in every copy. The commonest go.
+    """
 
-    def __init__(self, ids: list, texts: list[str | None], n: int):
-        self.ids, self.n = ids, n
+    def __init__(self, ids: list, texts: list[str | None], settings: LeakSettings):
+        self.ids = ids
         flat, counts = plain_words(pa.array(texts, pa.string()))
         coded = flat.dictionary_encode()
         self.vocabulary = coded.dictionary
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.items = np.split(codes, np.cumsum(counts)[:-1]) if len(counts) else []
         self.bags = [np.unique(x, return_counts=True) for x in self.items]
-        key, doc, place = self.grams(codes, counts)
-        by = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[by], doc[by], place[by]
+        self.least = np.array([settings.least(len(x)) for x in self.items], np.int64)
+        key, starts = self.pairs(codes, counts), np.cumsum(counts) - counts
+        self.own_pairs = [np.unique(key[a:a + n][key[a:a + n] >= 0]) for a, n in zip(starts, counts)]
+        at = np.flatnonzero((key >= 0) & np.repeat(counts >= settings.least_words, counts))
+        at = at[np.argsort(key[at], kind="stable")]
+        self.key, self.item = key[at], np.repeat(np.arange(len(counts)), counts)[at]
+        self.place = at - starts[self.item]
+        #: Seeds an item keeps: of its n - 1 pairs all but s - 2.
+        self.seeds = counts + 1 - self.least
 
     def codes(self, flat: pa.Array) -> np.ndarray:
         """Codes of words, -1 for those no item has."""
         return pc.fill_null(pc.index_in(flat, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def grams(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, text and first word (in its text) of every n-gram made of the items' words.
-
-        Keys are exact up to three words of a million; beyond, a clash of keys costs an alignment only.
-        """
-        doc = np.repeat(np.arange(len(counts)), counts)
-        first = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        room = np.flatnonzero(first + self.n <= counts[doc]) if len(codes) else np.zeros(0, np.int64)
-        key, real = np.zeros(len(room), np.int64), np.ones(len(room), bool)
-        for k in range(self.n):
-            c = codes[room + k]
-            real &= c >= 0
-            key = key * (len(self.vocabulary) + 1) + c
-        return key[real], doc[room[real]], first[room[real]]
-
-    def found(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """Words as codes, where each text begins, and for each seed in the texts: text, word, and the range of its entries."""
-        flat, counts = plain_words(texts)
-        codes = self.codes(flat)
-        key, doc, place = self.grams(codes, counts)
-        low = np.searchsorted(self.key, key, side="left")
-        hit = np.flatnonzero((low < len(self.key)) & (self.key[np.minimum(low, len(self.key) - 1)] == key)) if len(self.key) else np.zeros(0, np.int64)
-        high = np.searchsorted(self.key, key[hit], side="right")
-        return codes, np.concatenate([[0], np.cumsum(counts)]), doc[hit], place[hit], low[hit], high
+    def pairs(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each word the key of the pair with the next word of its text, -1 if there is none or no item has one of them."""
+        key = np.full(len(codes), -1, np.int64)
+        both = (codes[:-1] >= 0) & (codes[1:] >= 0)
+        ends = np.cumsum(counts)
+        both[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+        key[:-1][both] = codes[:-1][both] * (len(self.vocabulary) + 1) + codes[1:][both]
+        return key
+
+    def rarest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The entries that are seeds, for texts that have the pairs ``low`` to ``high``: the rarest pairs there of each item."""
+        change = np.zeros(len(self.key) + 1, np.int64)
+        np.add.at(change, low, 1)
+        np.add.at(change, high, -1)
+        by = np.lexsort((self.place, np.cumsum(change)[:-1], self.item))
+        owner = self.item[by]
+        rank = np.arange(len(by)) - np.searchsorted(owner, owner)
+        return np.sort(by[rank < self.seeds[owner]])
 
     def in_common(self, i: int, words: np.ndarray) -> int:
         """How many words of item ``i`` are in ``words``, each as often as in both: no alignment scores more."""
@@ -92,31 +103,55 @@ class Block:
         at = at[own[np.minimum(at, len(own) - 1)] == words]
         return int(np.minimum(np.bincount(at, minlength=len(own)), n).sum())
 
+    def passages(self, i: int, key: np.ndarray) -> list[tuple[int, int]]:
+        """Where a copy of item ``i`` may lie in words with these pairs: enough of its pairs within twice its length."""
+        own, need, reach = self.own_pairs[i], int(self.least[i]) - 1, 2 * len(self.items[i])
+        at = np.searchsorted(own, key)
+        hit = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == key)
+        if len(hit) < need:
+            return []
+        dense = np.flatnonzero(hit[need - 1:] - hit[:len(hit) - need + 1] < reach)
+        change = np.zeros(len(hit) + 1, np.int64)
+        np.add.at(change, dense, 1)
+        np.add.at(change, dense + need, -1)
+        hit = hit[np.cumsum(change)[:-1] > 0]
+        return [(max(0, int(x[0]) - reach), int(x[-1]) + reach) for x in np.split(hit, np.flatnonzero(np.diff(hit) > reach) + 1)] if len(hit) else []
+
+
+#: A score and where its passage begins, in one number.
+SCORE = 1 << 32
+
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Best Smith-Waterman score of two word sequences, and the part of ``words`` it covers (end exclusive)."""
-    steps = np.arange(len(words) + 1)
-    grid = np.zeros((len(item) + 1, len(words) + 1), np.int32)
-    for i, w in enumerate(item, 1):
-        row = np.maximum(0, grid[i - 1] - 1)
-        row[1:] = np.maximum(row[1:], grid[i - 1, :-1] + np.where(words == w, 1, -1))
-        grid[i] = np.maximum.accumulate(row + steps) - steps  # a gap costs one a word
-    i, end = np.unravel_index(np.argmax(grid), grid.shape)
-    best, j = int(grid[i, end]), int(end)
-    while i and j and grid[i, j] > 0:
-        here = grid[i, j]
-        if here == grid[i - 1, j - 1] + (1 if item[i - 1] == words[j - 1] else -1):
-            i, j = i - 1, j - 1
-        elif here == grid[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, int(end)
+    """Best Smith-Waterman score of two word sequences, and the part of ``words`` it covers (end exclusive).
+
+    Each cell carries where its alignment begins, so that two rows of the grid are held and no more.
+    """
+    fresh = np.arange(len(words) + 1)
+    steps, row, best = fresh * SCORE, fresh, (0, 0, 0)
+    for w in item:
+        new = np.maximum(fresh, row - SCORE)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(words == w, SCORE, -SCORE))
+        row = np.maximum.accumulate(new + steps) - steps  # a gap costs one a word
+        end = int(np.argmax(row))
+        if row[end] >= (best[0] + 1) * SCORE:
+            best = int(row[end]) // SCORE, int(row[end]) % SCORE, end
+    return best
 
 
 def leaks_in(block: Block, texts: pa.Array, settings: LeakSettings) -> list[tuple[int, int, int, float, int, int]]:
     """Text, item, score, share and words of the best passage, for every text and item that reach the least."""
-    codes, starts, doc, place, low, high = block.found(texts)
+    flat, counts = plain_words(texts)
+    codes = block.codes(flat)
+    key, starts = block.pairs(codes, counts), np.concatenate([[0], np.cumsum(counts)])
+    word = np.flatnonzero(key >= 0)
+    low = np.searchsorted(block.key, key[word], side="left")
+    high = np.searchsorted(block.key, key[word], side="right")
+    word, low, high = (x[low < high] for x in (word, low, high))
+    seeds = block.rarest(low, high)
+    low, high = np.searchsorted(seeds, low), np.searchsorted(seeds, high)
+    word, low, high = (x[low < high] for x in (word, low, high))
+    doc = np.repeat(np.arange(len(counts)), counts)[word]
     ends = np.cumsum(high - low)
     out, start = [], 0
     while start < len(doc):
@@ -124,34 +159,32 @@ def leaks_in(block: Block, texts: pa.Array, settings: LeakSettings) -> list[tupl
         if stop < len(doc):  # whole texts, one at least
             stop = int(np.searchsorted(doc, doc[stop]))
             stop = stop if stop > start else int(np.searchsorted(doc, doc[start], side="right"))
-        out += _aligned(block, codes, starts, *(x[start:stop] for x in (doc, place, low, high)), settings)
+        size = high[start:stop] - low[start:stop]
+        entry = seeds[np.repeat(low[start:stop], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        out += _aligned(block, codes, key, starts, np.repeat(doc[start:stop], size), np.repeat(word[start:stop], size), block.item[entry], block.place[entry])
         start = stop
     return out
 
 
-def _aligned(block: Block, codes: np.ndarray, starts: np.ndarray, doc: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray,
-             settings: LeakSettings) -> list[tuple[int, int, int, float, int, int]]:
-    size = high - low
-    entry = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    doc, place, item = np.repeat(doc, size), np.repeat(place, size), block.item[entry]
-    begin = place - block.place[entry]  # where the item would begin, if nothing were skipped
+def _aligned(block: Block, codes: np.ndarray, key: np.ndarray, starts: np.ndarray, doc: np.ndarray, word: np.ndarray, item: np.ndarray,
+             place: np.ndarray) -> list[tuple[int, int, int, float, int, int]]:
+    begin = word - place  # where the item would begin, if nothing were skipped
     by = np.lexsort((begin, item, doc))
     doc, item, begin = doc[by], item[by], begin[by]
     out = []
     edges = np.flatnonzero((doc[1:] != doc[:-1]) | (item[1:] != item[:-1])) + 1
     for group in np.split(np.arange(len(doc)), edges) if len(doc) else []:
         d, i = int(doc[group[0]]), int(item[group[0]])
-        words, length = codes[starts[d]:starts[d + 1]], len(block.items[i])
-        least = max(min(settings.least_score, settings.least_share * length), min(length, settings.seed_words + 1))
+        length, first, last = len(block.items[i]), int(starts[d]), int(starts[d + 1])
         best = (0, 0, 0)
-        gaps = np.flatnonzero(np.diff(begin[group]) > 3 * length) + 1
-        for part in np.split(group, gaps):
-            a, b = max(0, int(begin[part[0]]) - length), min(len(words), int(begin[part[-1]]) + 2 * length)
-            if block.in_common(i, words[a:b]) < least:
-                continue
-            score, s, e = align(block.items[i], words[a:b])
-            best = max(best, (score, -(a + s), a + e))
-        if best[0] >= least:
+        for part in np.split(group, np.flatnonzero(np.diff(begin[group]) > 3 * length) + 1):
+            a, b = max(first, int(begin[part[0]]) - length), min(last, int(begin[part[-1]]) + 2 * length)
+            for x, y in block.passages(i, key[a:b]):
+                words = codes[a + x:min(b, a + y)]
+                if block.in_common(i, words) >= block.least[i]:
+                    score, s, e = align(block.items[i], words)
+                    best = max(best, (score, first - a - x - s, a + x + e - first))
+        if best[0] >= block.least[i]:
             out.append((d, i, best[0], best[0] / length, -best[1], best[2]))
     return out
 
@@ -164,7 +197,7 @@ def blocks_of(docs: DataFrame, items: DataFrame, item_key: str, item_text: str,
     count = int(total // settings.block_words) + 1
     for k in range(count):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).toArrow()  # about block_words words
-        block = Block(own.column("i").to_pylist(), own.column("t").to_pylist(), settings.seed_words)
+        block = Block(own.column("i").to_pylist(), own.column("t").to_pylist(), settings)
         if not len(block.key):
             continue
         yield spark.sparkContext.broadcast(block)
@@ -175,10 +208,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """Pairs of a document and a test item that it holds a copy of, edited or not.
 
     ``key, item_key, score, share, first_word, end_word`` (words of the document); the best passage of
-    each pair. Null or empty texts and items, and items of fewer words than a seed, match nothing. Null
-    keys and repeated rows give rows of their own. Other columns are not carried. Items that don't fit
-    one block are looked for block by block, each in its own pass over all documents: no join, no
-    shuffle. All seeds of an item count, however many documents have them.
+    each pair. Null or empty texts and items, and items of fewer than ``least_words`` words, match nothing.
+    Null keys and repeated rows give rows of their own. Other columns are not carried. Items that don't
+    fit one block are looked for block by block, each in its own pass over all documents: no join, no
+    shuffle. Every passage that reaches the least score is found: seeds and bounds lose none, whichever
+    pairs are rare in a slice of texts. An alignment holds two rows, so long items and texts cost time,
+    the product of their words, but no memory.
     """
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
     schema = f"k {kinds[0]}, i {kinds[1]}, score long, share double, first_word long, end_word long"

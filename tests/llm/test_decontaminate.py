@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def test_like_brute_force(spark, odd, block):
         for i, item in ITEMS[:12]:
             if set(item) & set(words):
                 score = brute(item, words)
-                if score >= min(s.least_score, s.least_share * len(item)) and score > s.seed_words:
+                if score >= min(s.least_score, s.least_share * len(item)) and score > s.least_words:
                     want[d, i] = score
     assert {k: r.score for k, r in got.items()} == want
     assert all(len(range(r.first_word, r.end_word)) >= r.score for r in got.values())
@@ -78,5 +79,35 @@ def test_many_copies_of_a_part_are_all_found(spark, together, monkeypatch):
     got = {r.doc_id: r.score for r in find_leaks(docs, items).collect()}
     assert got == {i: 24 for i in range(1000)}
     assert [r.doc_id for r in drop_leaks(docs, items).collect()] == [1000]
-    block = Block([1], [" ".join(item)], 3)
+    block = Block([1], [" ".join(item)], LeakSettings())
     assert len(leaks_in(block, pa.array([t for _, t in rows]), LeakSettings())) == 1000
+
+
+@pytest.mark.parametrize("size", [6, 60, 400])
+def test_no_copy_is_lost_however_common_its_words_are(size):
+    r = random.Random(size)
+    vocabulary, s = [f"w{i}" for i in range(size)], LeakSettings()
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in (3, 4, 5, 9, 20, 40, 70)]
+    texts = [[r.choice(vocabulary) for _ in range(n)] for n in (0, 1, 2, 30, 300)]
+    for item in items:
+        for share in (0.1, 0.2, 0.3, 0.4):
+            copy = [r.choice(vocabulary) if r.random() < share else w for w in item]
+            texts.append([r.choice(vocabulary) for _ in range(r.randint(0, 200))] + copy + [r.choice(vocabulary) for _ in range(r.randint(0, 90))])
+    got = {(d, i): score for d, i, score, *_ in leaks_in(Block(list(range(7)), [" ".join(x) for x in items], s), pa.array([" ".join(x) for x in texts]), s)}
+    scores = {(d, i): brute(x, t) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    assert got == {k: n for k, n in scores.items() if n >= s.least(len(items[k[1]]))}
+
+
+def test_every_third_word_replaced():
+    item = [f"part{i}" for i in range(40)]
+    text = some(30) + [w if i % 3 < 2 else "other" for i, w in enumerate(item)] + some(30)
+    found = leaks_in(Block([1], [" ".join(item)], LeakSettings()), pa.array([" ".join(text)]), LeakSettings())
+    assert [x[2:] for x in found] == [(14, 14 / 40, 30, 68)]  # the last kept word stands behind a replaced one
+
+
+def test_an_item_of_many_words_is_aligned_in_two_rows():
+    tracemalloc.start()
+    item = np.arange(6000)
+    assert align(item, np.concatenate([item + 9000, item, item + 9000])) == (6000, 6000, 12000)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
