@@ -40,6 +40,8 @@ SMALL_ARTICLE = {"ad", "ads", "advert", "advertisement", "comment", "comments",
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Points a container starts with.
 START = {"article": 30.0, "main": 20.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}
+#: Points for a good name.
+NAMED = 25.0
 #: Shares of a block's points from its container upwards.
 PASSED = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12, 1 / 15)
 COMMAS = re.compile("[,،、，]")
@@ -51,10 +53,10 @@ BLANKS = re.compile("[\\s ]+")
 class Node:
     """An element: what it passes to its container is summed up once the page is read."""
 
-    __slots__ = ("tag", "parent", "gone", "inside", "weight", "points", "chars", "linked", "kept")
+    __slots__ = ("tag", "parent", "gone", "doubtful", "inside", "weight", "points", "chars", "linked", "kept")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.gone, self.kept = tag, parent, False, False
+        self.tag, self.parent, self.gone, self.doubtful, self.kept = tag, parent, False, False, False
         self.inside = bool(parent and (parent.inside or parent.tag in ("article", "main")))
         self.weight = START.get(tag, 0.0)
         self.points, self.chars, self.linked = 0.0, 0, 0
@@ -68,7 +70,7 @@ def _names(attributes: str) -> dict[str, str]:
 
 
 def _judge(node: Node, attributes: str) -> None:
-    """Whether an element is no part of any article, and the points its names are worth."""
+    """Whether an element is no part of any article, by its names alone or if its text agrees, and the points its names are worth."""
     if node.tag in GONE or node.tag == "header" and not node.inside:
         node.gone = True
         return
@@ -81,8 +83,9 @@ def _judge(node: Node, attributes: str) -> None:
         names = words & GONE_WORDS or "header" in words and not node.inside
         excused = words & GOOD_WORDS and not words & SMALL_ARTICLE
         node.gone = bool(hidden or a.get("role", "").lower() in GONE_ROLES or names and not excused or node.tag == "article")
-    if words & GOOD_WORDS or a.get("role") == "main":
-        node.weight += 25.0
+        node.doubtful = bool(names) and not node.gone
+    if not node.doubtful and words & GOOD_WORDS or a.get("role") == "main":
+        node.weight += NAMED
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -172,14 +175,40 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     return nodes, out
 
 
+def _add_up(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Characters of text and of links below each element."""
+    for x in nodes:
+        x.chars = x.linked = 0
+    for node, text, linked in blocks:
+        node.chars += len(text)
+        node.linked += linked
+    for x in reversed(nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.linked += x.linked
+
+
 def main_text(page: str) -> str:
-    """The text of the article: blocks of the best container and of siblings that belong to it.
+    """The text of the article: all blocks of the best container, however short, and of siblings that belong to it.
 
     A block gives a point, one for each comma and one for each 100 characters (three at most), less the
     share of it that is links, to the container of its paragraph, half to the one above, and less to
-    four more. A container's points count less the share of links in all of its text.
+    four more. A container's points count less the share of links in all of its text; of containers
+    with equal points the first of the page is the best.
     """
     nodes, blocks = parse(page)
+    _add_up(nodes, blocks)
+    said, over = nodes[0].chars - nodes[0].linked, set()
+    for x in nodes:
+        if x.tag in ("article", "main") and x.chars and not x.gone:
+            while x and x not in over:
+                over.add(x)
+                x = x.parent
+    for x in nodes:
+        # good and bad names: a frame around the article holds it or most of the page's text, a box beside it doesn't
+        beside = over and x not in over and not x.inside
+        x.gone |= bool(x.parent and x.parent.gone) or x.doubtful and (bool(beside) or 2 * (x.chars - x.linked) <= said)
+    blocks = [b for b in blocks if not b[0].gone]
+    _add_up(nodes, blocks)
     for node, text, linked in blocks:
         points = (1 + len(COMMAS.findall(text)) + min(len(text) // 100, 3)) * (1 - linked / len(text))
         x = node.parent if node.parent and (node.tag == "p" or node.tag in HEADINGS or node.tag in ("li", "dd", "dt")) else node
@@ -187,12 +216,7 @@ def main_text(page: str) -> str:
             if x:
                 x.points += points * share
                 x = x.parent
-        node.chars += len(text)
-        node.linked += linked
-    for x in reversed(nodes[1:]):
-        x.parent.chars += x.chars
-        x.parent.linked += x.linked
-    some = [x for x in nodes if x.points]
+    some = [x for x in nodes if x.points and not x.gone]
     if not some:
         return ""
     best = max(some, key=Node.score)
@@ -203,11 +227,18 @@ def main_text(page: str) -> str:
         if x:
             best = x
             break
-    least = max(10.0, 0.2 * best.points)
+    # plain boxes around the best container, up to one that is named as the article's, hold parts of the article
+    around = set()
+    x = best
+    while x.tag in ("div", "section") and x.weight < NAMED and x.parent and x.parent.tag in ("div", "section"):
+        x = x.parent
+        around.add(x)
+    top, least = x, 0.2 * best.points
     for x in nodes:
-        beside = x.parent is best.parent and x.tag not in ("html", "body", "main") and x.linked <= 0.25 * x.chars
-        x.kept = x is best or bool(x.parent and x.parent.kept) or beside and (
-            x.points >= least or x.tag in HEADINGS or x.tag == "p" and x.chars > 80)
+        part = x.parent in around or x.parent is top.parent and x.tag not in ("html", "body", "main") and (
+            x.points >= least and (x.chars > 80 or x.points >= 10) or x.tag in HEADINGS or x.tag == "p") or x.tag == top.tag == "article"
+        x.kept = not x.gone and (x is best or x in around or part and x.linked <= 0.25 * x.chars
+                                 or bool(x.parent and x.parent.kept and x.parent not in around))
     return "\n".join(text for node, text, _ in blocks if node.kept)
 
 

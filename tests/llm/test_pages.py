@@ -28,6 +28,38 @@ def test_siblings_of_the_best_are_kept():
     assert main_text(page) == "\n".join([LONG] * 8)
 
 
+@pytest.mark.parametrize("name", ["sidebar-content", "footer-text", "newsletter-body", "cookie-content", "menu-main", "widget-text", "blog-sidebar"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_a_bad_name_with_a_good_one_is_boilerplate_beside_an_article(name, tag):
+    article = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    for box in (f'<{tag} class="{name}"><p>{LONG}</p></{tag}>', f'<{tag} id="{name}"><p>Short.</p></{tag}>'):
+        assert main_text(f"<body>{article}{box}</body>") == main_text(f"<body>{box}{article}</body>") == f"{LONG}\n{LONG}"
+    box = f'<{tag} class="{name}"><p>{LONG}</p><p>{LONG}</p></{tag}>'
+    assert main_text(f"<body><article><p>{LONG}</p></article>{box}</body>") == LONG
+
+
+def test_a_frame_named_after_its_sidebar_keeps_the_article():
+    page = f'<body><div class="content-with-sidebar"><div><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div></div></body>'
+    assert main_text(page) == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><div><p>Intro text here.</p></div><div><p>{LONG}</p></div><div><p>Short end.</p></div></div>", f"Intro text here.\n{LONG}\nShort end."),
+    (f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p><p>More.</p></article></body>", f"{LONG}\n{LONG}\nMore."),
+    (f'<body><article><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article></body>', LONG),
+    (f"<body><p>First.</p><div><p>{LONG}</p><p>{LONG}</p></div><p>Last.</p></body>", f"First.\n{LONG}\n{LONG}\nLast."),
+    (f'<body><div class="wrap"><div class="top">Site</div><div id="content"><p>{LONG}</p></div></div></body>', LONG),
+    (f"<body><div><p>{LONG}</p></div><div><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+])
+def test_parts_of_an_article_are_kept_however_short(page, want):
+    assert main_text(page) == want
+
+
+def test_of_equal_containers_the_first_is_the_best():
+    page = f"<body><table><tr><td><p>{LONG}</p></td></tr></table><ul><li>a</li></ul><table><tr><td><p>{LONG[:-1]}!</p></td></tr></table></body>"
+    assert main_text(page) == LONG
+
+
 def test_table(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x"), (3, "v", "<p>" + "long, text " * 20000), (3, "v", "<nav>n</nav>"), (4, "w", "<div" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
