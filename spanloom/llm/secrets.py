@@ -24,13 +24,12 @@ WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-
 NAMED_SECRET = re.compile(r"""(?:pwd|pass|passphrase|private_?key|credentials?)["']?\x20*[:=]\x20*["']?([^\s"',;]{6,})""", re.A | re.I)
 ENDPOINT = re.compile(r"""(?:https?|s?ftps?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3|ldaps?|ssh)://[^\s"'<>,;]+""", re.A)
 HOST = re.compile(r"""(?:host(?:name)?|server|endpoint)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z0-9.-]+(?::[0-9]+)?)""", re.A | re.I)
-BLANK_LINE = re.compile(r"\n[\x20\x09\x0b-\x0d]*\n")
+#: What begins a section: a heading, a line of dashes or the like, a name in brackets.
+SECTION = re.compile(r"^(?:#{1,6}\x20.*|(?:-{3,}|={3,}|\*{3,}|_{3,})[\x20\x09\r]*|\[[A-Za-z][A-Za-z0-9_.:\x20-]*\][\x20\x09\r]*)$", re.M)
 
 KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
 #: Which part of a credential a kind is.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "id": "id", "secret": "secret", "endpoint": "endpoint"}
-#: Code points between two parts of one credential, at most.
-REACH = 200
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -66,11 +65,11 @@ def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 
 
 def _scopes(text: str, spans: list[tuple[int, int, str]]) -> list[int]:
-    """For each span (by start) the number of blank lines before it: parts of one credential share a block."""
-    out, blocks = [], [m.start() for m in BLANK_LINE.finditer(text)] if spans else []
+    """For each span (by start) the number of its section: parts of one credential share a section."""
+    out, blocks = [], [m.start() for m in SECTION.finditer(text)] if spans else []
     k = 0
     for s, _, _ in spans:
-        while k < len(blocks) and blocks[k] < s:
+        while k < len(blocks) and blocks[k] <= s:
             k += 1
         out.append(k)
     return out
@@ -100,12 +99,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(work, schema)
 
 
-def linked_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
+def linked_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
     """Weak parts with a complement in their scope: an interval join of the parts of each (row, scope), by start.
 
     ``parts`` has ``row, scope, start, end, kind``. The nearest part of each role before and after is
     found in one ordered pass, so that a scope full of parts costs no pairs. A weak secret needs an
-    identifier or an endpoint, a weak identifier a secret, an endpoint both, within ``reach``.
+    identifier or an endpoint, a weak identifier a secret, an endpoint both, anywhere in the scope, or
+    within ``reach`` code points if that is given. ``distance`` says how far the complement is (of two,
+    the farther): the nearer, the likelier one credential.
     """
     roles = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
     order = Window.partitionBy("row", "scope").orderBy("start", "end", "kind")
@@ -116,36 +117,41 @@ def linked_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
         own = F.col("role") == role
         back = F.col("start") - F.max(F.when(own, F.col("end"))).over(before)
         ahead = F.min(F.when(own, F.col("start"))).over(after) - F.col("end")
-        near[role] = F.coalesce(F.least(back, ahead) <= reach, F.lit(False))
-    has = F.col
-    weak = ((has("kind") == "secret") & (has("near_id") | has("near_endpoint"))
-            | (has("kind") == "id") & has("near_secret")
-            | (has("kind") == "endpoint") & has("near_id") & has("near_secret"))
-    return parts.withColumns({f"near_{r}": c for r, c in near.items()}).where(weak)
+        nearest = F.least(back, ahead)
+        near[role] = F.when(nearest >= 0, nearest).when(nearest < 0, 0)
+    own, other = F.col("kind"), lambda r: F.col(f"to_{r}")
+    distance = (F.when(own == "secret", F.least(other("id"), other("endpoint"))).when(own == "id", other("secret"))
+                .when((own == "endpoint") & other("id").isNotNull() & other("secret").isNotNull(), F.greatest(other("id"), other("secret"))))
+    linked = parts.withColumns({f"to_{r}": c for r, c in near.items()}).withColumn("distance", distance).where("distance IS NOT NULL")
+    return linked if reach is None else linked.where(F.col("distance") <= reach)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
-    """``key, n_assign, n_access, n_hex long, base_sha256, spans string, n_linked long`` of every text.
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
+    """``key, n_assign, n_access, n_hex long, base_sha256, spans string, n_linked long, linked string`` of every text.
 
     Offsets are code points, ends exclusive. Base spans always stay; weak parts are added where
-    ``linked_parts`` finds their complement. Null and empty texts have no spans: the digest is that of
-    the empty string. Null keys and repeated rows keep rows of their own; other columns aren't carried.
+    ``linked_parts`` finds their complement in the same section of the text, however far; ``linked`` lists
+    them as ``kind:start:end:distance``. Null and empty texts have no spans: the digest is that of the
+    empty string, ``linked`` is empty. An empty table gives no rows. Null keys and repeated rows keep rows of
+    their own; other columns aren't carried. A very long text is read whole by its task, and the parts of
+    one of its sections are sorted in one task.
     """
     # written first: a row number is then the same whenever it is read
     found = written(candidates(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "secret-parts")
     parts = found.where("size(parts) > 1").select("row", F.inline("parts"))
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     added = (linked_parts(parts, reach).groupBy("row")  # no more than one text has
-             .agg(F.collect_list(F.struct("start", order[F.col("kind")].alias("by"), "end", "kind")).alias("added")))
+             .agg(F.collect_list(F.struct("start", order[F.col("kind")].alias("by"), "end", "kind", "distance")).alias("added")))
     spelled = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(
         F.split(x, ":")[1].cast("long").alias("start"), order[F.split(x, ":")[0]].alias("by"), F.split(x, ":")[2].cast("long").alias("end"),
-        F.split(x, ":")[0].alias("kind")))
+        F.split(x, ":")[0].alias("kind"), F.lit(None).cast("long").alias("distance")))
     every = F.array_sort(F.concat(spelled, "added"))
-    joined = F.array_join(F.transform(every, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    said = lambda spans, *names: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", *(x[n] for n in names))), ",")
     return found.drop("parts").join(added, "row", "left").select(
         F.col("k").alias(key), "n_assign", "n_access", "n_hex", "base_sha256",
-        F.when(F.col("added").isNull(), F.col("base")).otherwise(joined).alias("spans"),
-        F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_linked"))
+        F.when(F.col("added").isNull(), F.col("base")).otherwise(said(every, "kind", "start", "end")).alias("spans"),
+        F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_linked"),
+        F.coalesce(said(F.array_sort("added"), "kind", "start", "end", "distance"), F.lit("")).alias("linked"))
 
 
 def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
