@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,31 +81,59 @@ class Feistel:
         return self._walk(slots, True)
 
 
-class Tokens:
-    """Counts and encodes with one vocabulary; counts of parts of texts are remembered."""
+BLANK = r"[\s\v\p{Z}\x{85}\x1c-\x1f]"
+#: A space with other white space, or an end of the text, beside it.
+NOT_ALONE = rf"(?:^|{BLANK}) | (?:$|{BLANK})"
+
 
-    REMEMBERED = 300_000
+class Tokens:
+    """Counts and encodes with one vocabulary; a word that occurs several times among the texts is encoded once."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
         self.coder = tiktoken.Encoding("fixed", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, int] = {}
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space
+        self.begins[[i for x, i in ranks.items() if x[:1] == b" "]] = True
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+
+    def ids(self, texts: pa.Array, end: list[int] = []) -> pa.Buffer:
+        """The ids of all texts, 16 bits each, ``end`` after every text.
+
+        A space between two characters that are no white space is always split off together with what
+        follows, so that words count by themselves. Texts with other spaces are encoded whole.
+        """
+        whole = pc.match_substring_regex(texts, NOT_ALONE)
+        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        flat = pc.list_flatten(parts)
+        later = np.ones(len(flat), bool)
+        later[firsts] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        words = coded.dictionary
+        said = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        own = self._plain(f" {said}" if len(words) else "")
+        starts = np.flatnonzero(self.begins[own])
+        if len(starts) != len(words):
+            raise ValueError("a word doesn't begin with one id that begins with a space")
+        alone = list(map(self._plain, pc.if_else(whole, texts, flat.take(pa.array(firsts))).to_pylist()))
+        # every word, then what each text begins with, then the end
+        known = np.concatenate([own, *alone, np.array(end, "<u2")])
+        edges = np.concatenate([starts, len(own) + np.cumsum([0, *map(len, alone), len(end)])])
+        values = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(known)])
+        order = np.full(len(flat) + len(texts), len(edges) - 2)
+        place = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)  # an end after each text
+        order[place[later]] = coded.indices.to_numpy(zero_copy_only=False)
+        order[place[firsts]] = len(words) + np.arange(len(texts))
+        taken = values.take(pa.array(order))
+        return taken.buffers()[2].slice(0, int(np.frombuffer(taken.buffers()[1], np.int32)[len(order)]))
 
     def count(self, text: str) -> int:
-        """How many ids ``encode`` gives. A single space is always split off before what it follows, so parts count by themselves."""
-        if "  " in text:
-            return len(self.coder.encode_ordinary(text))
-        first, *rest = text.split(" ")
-        known, total = self.known, len(self.coder.encode_ordinary(first))
-        for part in rest:
-            n = known.get(part)
-            if n is None:
-                n = known[part] = len(self.coder.encode_ordinary(" " + part))
-            total += n
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        return total
+        """How many ids a text has."""
+        return self.ids(pa.array([text])).size // 2
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.coder.encode_ordinary_batch(texts, num_threads=1)
@@ -132,7 +161,8 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
     Texts follow each other, each with the end id, in the order in which Spark reads ``docs``; sequence i
     holds the tokens from i * length on. Its slot is the Feistel permutation of i; shard slot // per_shard
     has it at byte stride * (slot % per_shard). A null or empty text is its end id only. An empty table
-    gives no shard.
+    gives no shard. Repeated rows are texts of their own; keys and other columns are not read, so null keys
+    and clashing names change nothing. A very long text is encoded whole and cut like any other.
 
     ``docs`` is read twice: once to count the tokens of every partition, once to encode and cut them; so
     no ids are stored between. A partition that counts differently the second time is an error, so
@@ -145,8 +175,8 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total = _tokens(shared.value, stamp), 0
-        for part in slices(batches, "t", 2 << 20):
-            total += sum(map(tokens.count, part.column("t").to_pylist())) + part.num_rows
+        for part in slices(batches, "t"):
+            total += tokens.ids(part.column("t"), [s.end]).size // 2
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64())], names=["pid", "n"])
 
     totals = {r.pid: r.n for r in texts.mapInArrow(counted, "pid long, n long").collect()}  # a number for each partition
@@ -163,13 +193,13 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
         """Whole sequences and pieces of this partition's stretch of tokens."""
         pid = TaskContext.get().partitionId()
         tokens, o = _tokens(shared.value, stamp), base.get(pid, 0)
-        for part in slices(batches, "t", 1 << 20):
-            ids = np.array([x for t in tokens.encode(part.column("t").to_pylist()) for x in (*t, s.end)], "<u2")
-            end = o + len(ids)
-            edges = [o, *range((o // s.length + 1) * s.length, end, s.length), end]
-            pieces = [ids[a - o:b - o].tobytes() for a, b in zip(edges, edges[1:])]
-            starts = np.array(edges[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(order.slots(starts // s.length)), pa.array((starts % s.length).astype(np.int32)), pa.array(pieces, pa.binary())],
+        for part in slices(batches, "t"):
+            ids = tokens.ids(part.column("t"), [s.end])
+            end = o + ids.size // 2
+            edges = np.array([o, *range((o // s.length + 1) * s.length, end, s.length), end])
+            starts = edges[:-1]
+            pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((2 * (edges - o)).astype(np.int32)), ids])
+            yield pa.RecordBatch.from_arrays([pa.array(order.slots(starts // s.length)), pa.array((starts % s.length).astype(np.int32)), pieces],
                                              names=["slot", "first", "piece"])
             o = end
         if o != base.get(pid, 0) + totals.get(pid, 0):

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,11 +58,13 @@ def test_round_trip(spark, odd, tmp_path, parts):
 
 @needs
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", "\t", " b", "'s", "12", "é", "!?", "\u3000", "𝒳"]), max_size=14).map("".join))
+@given(st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", "\t", " b", "'s", "12", "é", "!?", "\u3000", "𝒳", "\n\n", " \n", "\x85", "\x1c", "\xa0x"]), max_size=14).map("".join))
 def test_counts(text):
     if not TOKENS:
         TOKENS.append(Tokens(load_ranks(RANKS)))
     assert TOKENS[0].count(text) == len(TOKENS[0].encode([text])[0])
+    texts = [text, "", "some words", text + " and more of it", " " + text, "x " + text + "y"]
+    assert np.frombuffer(TOKENS[0].ids(pa.array(texts), [7]), "<u2").tolist() == [x for ids in TOKENS[0].encode(texts) for x in (*ids, 7)]
 
 
 TOKENS = []
