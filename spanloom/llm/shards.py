@@ -15,10 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, table, text_or_empty
+from spanloom.llm.common import lean, slices, table, text_or_empty
 from spanloom.session import shared_folder
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes of text encoded at once; a longer single text makes a slice of its own.
+ENCODED = 3 << 20
 #: Fixed value: how texts are split before merging, public with this vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -173,9 +175,10 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
     shared, stamp = spark.sparkContext.broadcast(load_ranks(ranks_path)), uuid.uuid4().hex
     texts = docs.select(text_or_empty(text).alias("t"))
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total = _tokens(shared.value, stamp), 0
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", ENCODED):
             total += tokens.ids(part.column("t"), [s.end]).size // 2
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64())], names=["pid", "n"])
 
@@ -189,11 +192,12 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", ranks_path: s
         return 0
     order = Feistel(count, s.key)
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole sequences and pieces of this partition's stretch of tokens."""
         pid = TaskContext.get().partitionId()
         tokens, o = _tokens(shared.value, stamp), base.get(pid, 0)
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", ENCODED):
             ids = tokens.ids(part.column("t"), [s.end])
             end = o + ids.size // 2
             edges = np.array([o, *range((o // s.length + 1) * s.length, end, s.length), end])
