@@ -134,5 +134,6 @@ def having_bit(rows: DataFrame, column: str, table_: DataFrame, bits: int) -> Da
     bit = F.pmod(F.col(column), F.lit(bits))
     at = F.bitmap_bit_position(bit).cast("int")
     inside = (7 - F.shiftright(at, 3) % 8) * 8 + at % 8  # the first byte of a word is its highest
-    joined = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(table_), "bucket")
+    # never null, else the column is worked out once more in a filter on that before the join
+    joined = rows.withColumn("bucket", F.coalesce(F.bitmap_bucket_number(bit), F.lit(0))).join(F.broadcast(table_), "bucket")
     return joined.where(F.getbit(F.get("words", F.shiftright(at, 6)), inside) == 1).select(*rows.columns)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import bit_table, having_bit, table, text_or_empty
 from spanloom.session import written
 
-#: Letters counted for the filter before edit distances.
-COUNTED = "etaoinsrhldcumfg"
+#: Characters counted for the filter before edit distances.
+COUNTED = "etaoinsrhldcumfgpwybv 0123456789"
 #: Bits of the table of segment keys, 16 MB; a clash costs a row in the shuffle.
 KEY_BITS = 1 << 27
 
@@ -52,18 +52,21 @@ def keyed(lines: DataFrame, settings: LineSettings, own_only: bool = False) -> D
     """A row ``key, own, whole`` for each thing a line looks up; segments are nearly equal, the longer ones come last."""
     count = settings.edits + 1
     c = F.col
+    # of a line with a byte a character, substrings are cut out without counting characters
+    lines = lines.withColumn("bytes", F.when(F.octet_length("line") == c("size"), c("line").cast("binary")))
     rows = lines.select("*", F.inline(probe_list(settings.edits, own_only))).withColumn("other", c("size") - c("delta"))
     rows = rows.withColumns({"short": F.expr(f"CAST(other DIV {count} AS INT)"), "longer": c("other") % count})
     rows = rows.withColumns({
         "at": c("short") * c("segment") + F.greatest(F.lit(0), c("segment") - count + c("longer")) + c("shift"),
         "width": c("short") + F.when(c("segment") >= F.lit(count) - c("longer"), 1).otherwise(0)})
     rows = rows.where((c("segment") < 0) | (c("size") >= settings.near_chars) & (c("at") >= 0) & (c("at") + c("width") <= c("size")))
-    key = F.when(c("segment") < 0, F.xxhash64("segment", "line")).otherwise(F.xxhash64("other", "segment", c("line").substr(c("at") + 1, c("width"))))
+    part = F.coalesce(F.substring("bytes", c("at") + 1, c("width")), F.substring("line", c("at") + 1, c("width")).cast("binary"))
+    key = F.when(c("segment") < 0, F.xxhash64("segment", "line")).otherwise(F.xxhash64("other", "segment", part))
     return rows.select(*ID, key.alias("key"), "own", (c("segment") < 0).alias("whole"))
 
 
 def letter_counts(line: Column) -> Column:
-    """Two bits for each counted letter, Gray-coded: an edit changes at most two bits."""
+    """Two bits for each counted character, Gray-coded: an edit changes at most two bits."""
     bits = F.lit(0).cast("long")
     for k, ch in enumerate(COUNTED):
         n = F.length(line) - F.length(F.replace(line, F.lit(ch)))
@@ -71,6 +74,27 @@ def letter_counts(line: Column) -> Column:
     return bits
 
 
+def agreeing(edits: int) -> list[int]:
+    """Masks of parts of the letter counts, one more than bits in which copies may differ: copies agree in a part."""
+    parts = 2 * edits + 1
+    masks = [sum(3 << 2 * k for k in range(p, len(COUNTED), parts)) for p in range(parts)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def alike(left: DataFrame, right: DataFrame, edits: int, also: Column) -> DataFrame:
+    """Rows of ``left`` and ``right`` of one ``key`` for which ``also`` holds and whose ``letters`` and ``l2`` differ in 2 * ``edits`` bits at most, each pair once.
+
+    They meet by the key and a part of the counts, so that a key in many lines is cut into small groups.
+    """
+    masks = agreeing(edits)
+    dealt = lambda rows, c: rows.select("*", F.inline(F.array(*(F.struct(F.lit(p).alias("part"), F.col(c).bitwiseAND(m).alias("counts")) for p, m in enumerate(masks)))))
+    apart = F.col("letters").bitwiseXOR(F.col("l2"))
+    once = F.lit(True)  # of several parts the first
+    for p, m in enumerate(masks):
+        once &= (F.col("part") <= p) | (apart.bitwiseAND(m) != 0)
+    return dealt(left, "letters").join(dealt(right, "l2"), ["key", "part", "counts"]).where((F.bit_count(apart) <= 2 * edits) & once & also)
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two arrays of characters if it is ``edits`` at most, else null.
 
@@ -132,7 +156,7 @@ def earlier_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     even if it has an earlier copy itself. Each line is first held against the earliest line of each of
     its keys, found by a partial aggregate. Only lines that are no copy of these are joined with all
     lines of the key, with letter counts in the join condition, so that a group of copies costs no
-    pairs and a segment in many lines few. A line equal to an earlier one needs no text any more.
+    pairs and a segment in many lines few; they meet by parts of the counts besides. A line equal to an earlier one needs no text any more.
     """
     t = settings.edits
     lines = lines_of(docs, key, text)
@@ -158,7 +182,7 @@ def earlier_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", set
                 .join(texts.select(F.col("place").alias("fp"), F.col("nr").alias("fn"), F.col("line").alias("theirs"), F.col("letters").alias("l2")),
                       (F.col("first.place") == F.col("fp")) & (F.col("first.nr") == F.col("fn"))))
         return written(
-            both.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * t).withColumn("edits", banded_distance(chars("mine"), chars("theirs"), t))
+            both.where((F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * t) & (F.levenshtein("mine", "theirs", t) >= 0)).withColumn("edits", banded_distance(chars("mine"), chars("theirs"), t))
             .where("edits IS NOT NULL").groupBy(*ID).agg(F.min(F.struct("edits", "first")).alias("best")), "line-copies")
 
     near = verified(open_.select(*ID, "first").distinct())
@@ -166,7 +190,7 @@ def earlier_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     known = texts.select("place", "nr", "letters")
     left = rest.join(known, ["place", "nr"]).select("key", *ID, "letters")
     right = open_.where("own").join(known.withColumnRenamed("letters", "l2"), ["place", "nr"]).select("key", me.alias("first"), "l2")
-    more = left.join(right, "key").where((F.bit_count(F.col("letters").bitwiseXOR(F.col("l2"))) <= 2 * t) & (me > other)).select(*ID, "first").distinct()
+    more = alike(left, right, t, me > other).select(*ID, "first").distinct()
     found = sure.unionByName(near).unionByName(verified(more))
     return found.select(*ID, F.col("best.first.doc").alias("of_doc"), F.col("best.first.place").alias("of_place"), F.col("best.first.nr").alias("of_nr"),
                         F.col("best.edits").alias("edits"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm.lines import LineSettings, banded_distance, drop_copied_lines, earlier_copies
+from spanloom.llm.lines import LineSettings, agreeing, alike, banded_distance, drop_copied_lines, earlier_copies, keyed, letter_counts
 
 R = random.Random(3)
 
@@ -89,3 +89,29 @@ def test_odd_rows(spark, odd):
     assert earlier_copies(odd.limit(0)).count() == 0 and drop_copied_lines(odd.limit(0)).count() == 0
     twice = odd.where("doc_id = 12").union(odd.where("doc_id = 12")).withColumn("doc_id", F.lit(None).cast("long"))
     assert drop_copied_lines(twice).count() == 2  # rows alike in key and text are one document
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_large_group_meets_in_small_ones(spark, edits):
+    template = "visitor number {} of {} was here in the year {}, and left a word: {}"
+    rows = [(i, template.format(R.randrange(10 ** 6), R.choice(["Rome", "Oslo", "Lima"]), R.randrange(1900, 2000), "".join(R.choice("abcdefgh") for _ in range(6)))) for i in range(300)]
+    rows += [(300 + i, changed(x, R.randint(0, edits))) for i, x in rows[:60]]
+    lines = spark.createDataFrame(rows, "nr long, line string").withColumn("key", F.lit(1)).withColumn("letters", letter_counts(F.col("line")))
+    right = lines.select("key", F.col("nr").alias("n2"), F.col("letters").alias("l2"))
+    got = [(r.nr, r.n2) for r in alike(lines, right, edits, F.col("nr") > F.col("n2")).collect()]
+    text = dict(rows)
+    near = {(a, b) for a in text for b in text if a > b and a >= 300 and distance(text[a], text[b]) <= edits}
+    assert len(got) == len(set(got)) and near <= set(got)
+    assert len(got) < len(rows) ** 2 / 2 / 20  # of all pairs of the group few are left
+    masks = agreeing(edits)
+    assert len(masks) == 2 * edits + 1 and sum(m & (1 << 64) - 1 for m in masks) == (1 << 64) - 1
+
+
+def test_keys_do_not_depend_on_the_width_of_characters(spark):
+    base = "a line of forty characters, no more, no."
+    rows = [(1, 1, i, x, len(x)) for i, x in enumerate([base, "é" + base[1:], base[:-1] + "𝒳"])]
+    keys = keyed(spark.createDataFrame(rows, "doc long, place long, nr int, line string, size int"), LineSettings(), True).where("NOT whole")
+    by = {}
+    for r in keys.collect():
+        by.setdefault(r.nr, []).append(r.key)
+    assert len(set(by[0]) & set(by[1])) == len(set(by[0]) & set(by[2])) == 2
