@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import codes_of, free_shuffles, lean, slices, table, text_or_empty, words_of
+from spanloom.llm.common import bit_table, codes_of, free_shuffles, having_bit, lean, slices, table, text_or_empty, words_of
 from spanloom.llm.components import connected
 from spanloom.session import written
 
 #: Rows of a key that one group holds; a longer key is dealt out in pairs of blocks.
 BLOCK = 4096
+#: Bits of the table of rows whose sets are compared, 2 MB; a clash costs a text in the shuffle.
+PLACE_BITS = 1 << 24
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -291,9 +293,15 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets, sizes = shingle_sets(part.column("t"), words)
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes), _hashes(sets, sizes)], names=["k", "n", "v"]).append_column("p", part.column("p"))
+            bands = Plan(int(sizes.max()), percent)  # bands and cells of a size are the same in every plan
+            own, below = (cells_of(bands, sets, sizes) + [[b""] * len(sizes)])[:2]
+            yield pa.RecordBatch.from_arrays([
+                part.column("k"), pa.array(sizes), _hashes(sets, sizes), part.column("p"), pa.array(bands.band(np.maximum(sizes, 1))),
+                pa.array(own, pa.binary()), pa.array(below, pa.binary())], names=["k", "n", "v", "p", "band", "own", "below"])
 
-    known = written(base.mapInArrow(sizes_of, f"k {kind}, n long, v long, p long"), "jaccard-sizes")
+    free_shuffles(docs.sparkSession)
+    described = written(base.mapInArrow(sizes_of, f"k {kind}, n long, v long, p long, band long, own binary, below binary"), "jaccard-sizes")
+    known = described.select("k", "n", "v", "p")
     largest = known.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     bands = Plan(largest, percent)
     counted = known.groupBy("n").agg(F.count("*").alias("c"))
@@ -312,23 +320,18 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     met = written(shared_keys(base.select("t").mapInArrow(indexed, "key long, v long")), "jaccard-keys")
     wanted = met.select("v").distinct()
-    # a text for each set that shares a key; equal sets have the same one, so sets are made once and not moved
+    # a row for each set that shares a key; equal sets have the same one. Sets are made again for those pairs only that cells leave
     chosen = known.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("p").alias("p"))
-    some = base.join(chosen, "p", "left_semi").dropDuplicates(["p"])
+    free_shuffles(docs.sparkSession)
+    small = written(described.drop("k").join(chosen, ["v", "p"], "left_semi").dropDuplicates(["v", "p"]), "jaccard-cells")
+    free_shuffles(docs.sparkSession)
 
     @lean
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             sets, sizes = shingle_sets(part.column("t"), words)
-            own, below = (cells_of(plan, sets, sizes) + [[b""] * len(sizes)])[:2]
             to = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                _hashes(sets, sizes), pa.array(sizes), pa.array(plan.band(np.maximum(sizes, 1))), pa.array(own, pa.binary()), pa.array(below, pa.binary()),
-                pa.ListArray.from_arrays(to, pa.array(sets.view(np.int64)))], names=["v", "n", "band", "own", "below", "s"])
-
-    free_shuffles(docs.sparkSession)
-    sets = written(some.mapInArrow(described, "v long, n long, band long, own binary, below binary, s array<long>"), "jaccard-sets")
-    free_shuffles(docs.sparkSession)
+            yield pa.RecordBatch.from_arrays([_hashes(sets, sizes), pa.array(sizes), pa.ListArray.from_arrays(to, pa.array(sets.view(np.int64)))], names=["v", "n", "s"])
 
     band_of = F.shiftrightunsigned("key", 56)
 
@@ -339,7 +342,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
                  .where("low < high").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
         rows = rooted.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.join(sets.select("v", "n", "band", "own", "below"), "v")
+        rows = rows.join(small.drop("p"), "v")
         return rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "v", "n", "root",
                            F.when(F.col("band") == band_of, F.col("own")).otherwise(F.col("below")).alias("cells"))
 
@@ -365,8 +368,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
                 .mapInArrow(work, "a long, b long").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "jaccard-pairs")
+        free_shuffles(docs.sparkSession)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        places = small.join(ends, "v", "left_semi").select("p")
+        some = having_bit(base.select("t", "p"), "p", bit_table(places, "p", PLACE_BITS), PLACE_BITS).join(places, "p", "left_semi").dropDuplicates(["p"])
+        sized = written(some.mapInArrow(shingled, "v long, n long, s array<long>"), "jaccard-sets")
         free_shuffles(docs.sparkSession)
-        sized = sets.select("v", "n", "s")
         joined = (pairs.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b"))
         both = F.size(F.array_intersect("sa", "sb"))
         return written(joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "jaccard-links")
@@ -384,10 +392,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     # each set with the least of each of its keys: enough for most groups of copies; cells leave out what met by chance
     least_of = met.groupBy("key").agg(F.min("v").alias("a"))
     star = met.join(least_of, "key").where("v <> a").groupBy("a", F.col("v").alias("b")).agg(F.min(band_of).alias("k"))
-    small = sets.select("v", "n", "band", "own", "below")
     cells = lambda x: F.when(F.col(f"band_{x}") == F.col("k"), F.col(f"own_{x}")).otherwise(F.col(f"below_{x}"))
-    sized = (star.join(small.toDF("a", "na", "band_a", "own_a", "below_a"), "a").select("a", "b", "k", "na", cells("a").alias("ca"))
-             .join(small.toDF("b", "nb", "band_b", "own_b", "below_b"), "b").select("a", "b", "na", "nb", "ca", cells("b").alias("cb")))
+    side = lambda x: small.select(F.col("v").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("band", "own", "below")), F.col("n").alias(f"n{x}"))
+    sized = (star.join(side("a"), "a").select("a", "b", "k", "na", cells("a").alias("ca"))
+             .join(side("b"), "b").select("a", "b", "na", "nb", "ca", cells("b").alias("cb")))
     links = verified(sized.mapInArrow(likely, "a long, b long"))
     root = connected(links)
     # keys with several components: the likeliest pairs between them, a forest for each key, and then all that are left

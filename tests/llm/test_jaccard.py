@@ -126,3 +126,22 @@ def test_fewer_words_in_all_than_a_shingle(words):
 def test_keep_one_of_one_short_document(spark):
     one = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
     assert [tuple(r) for r in J.keep_one(one).collect()] == [(1, "two words")]
+
+
+def test_sets_are_made_for_likely_pairs_only(spark, monkeypatch):
+    from spanloom.llm import jaccard
+
+    tables = {}
+
+    def kept(df, name, write=jaccard.written):
+        tables.setdefault(name, []).append(write(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{draw.randrange(5000)}" for _ in range(60))) for i in range(200)]
+    rows.append((200, rows[7][1] + " more"))
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), settings=JaccardSettings(5, 80))
+    assert sorted(r.doc_id for r in got.where("doc_id <> component_id").collect()) == [200]
+    assert tables["jaccard-cells"][0].count() > 50  # by chance, many sets share a key with another
+    assert 2 <= sum(t.count() for t in tables["jaccard-sets"]) < 20
