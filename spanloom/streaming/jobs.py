@@ -25,11 +25,14 @@ ORPHAN_IDLE, ORPHAN_DEDUPE = "5 minutes", "300 seconds"
 
 
 def stream_files(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Parquet files of a folder as a stream; a name without wildcards is a table, one file or a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    if not any(c in glob for c in "*?[{"):
+        # as a pattern: Spark takes a path without one for a folder
+        return reader.parquet(f"{folder}/[{glob[0]}]{glob[1:]}")
+    return reader.option("pathGlobFilter", glob).parquet(folder)
 
 
 def run_available(stream: DataFrame, mode: str = "append", each: Callable | None = None, keys: list[str] | None = None) -> DataFrame | None:
@@ -46,6 +49,8 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable | None
         # a batch that is tried again replaces its own rows
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
+    if not each:  # a stream without rows has a result without rows
+        keep(spark.createDataFrame([], schema), -1)
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).foreachBatch(each or keep).start())
@@ -290,5 +295,6 @@ def nearest_groups(vectors: DataFrame, medoids: DataFrame, radius: float) -> Dat
     def each(batch: DataFrame, number: int) -> None:
         nearest_reference(batch, medoids, radius).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    each(vectors.sparkSession.createDataFrame([], vectors.schema), -1)  # a stream without rows has a result without rows
     run_available(vectors, each=each)
     return vectors.sparkSession.read.option("recursiveFileLookup", "true").parquet(out)
