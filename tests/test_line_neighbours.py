@@ -36,3 +36,11 @@ def test_same_as_all_pairs(spark, k, piece):
     assert got.keys() == want.keys()
     for at, lof in want.items():
         assert got[at] == pytest.approx(lof, rel=1e-9), at
+
+
+def test_equal_rows_are_one(spark):
+    """Ten values, however many rows: no row a pair of rows is made."""
+    df = spark.range(4000).selectExpr("'g' AS g", "concat('r', id) AS id", "array(cast(id % 10 AS double)) AS vector")
+    near = nb.group_neighbours(df, "g", 5)
+    assert near.pairs is None and near.line.count() == 10
+    assert nb.local_outlier_factor(near, "g", 5).where("abs(lof - 1) < 1e-9").count() == 4000
