@@ -10,6 +10,10 @@ from spanloom.operators.groups import CONFIDENCE, DRAWS, REPLICATES, as_consiste
 from spanloom.session import written
 
 
+#: Drawn members that are broadcast.
+BROADCAST_ROWS = 250_000
+
+
 def hashed(text: Column) -> Column:
     """The first eight hexadecimal digits of the MD5 of a text as a number."""
     return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
@@ -68,6 +72,10 @@ def graph_consistency(labels: DataFrame, graphs: DataFrame, keys: list[str], ite
     others as can be. A graph drawn twice is a pair of distance 0 unless it has no labels.
     """
     drawn = written(weights(graphs, keys, item, replicates, draws, seed), "drawn")
+    # a group has replicates * draws drawn members at most, however large it is; only theirs go on
+    members = drawn.select(*keys, item).distinct()
+    members = F.broadcast(members) if drawn.count() <= BROADCAST_ROWS else members
+    labels = written(labels.join(members, [*keys, item], "left_semi"), "drawn_labels")
     length = labels.groupBy(*keys, item).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_len"))
     parts = labels.join(length, [*keys, item]).select(*keys, item, F.col("label").alias("feature"), (F.col("c") / F.col("_len")).alias("value"))
     real = drawn.join(length, [*keys, item]).groupBy(*keys, "replicate").agg(F.sum("weight").alias("_m"))
