@@ -59,3 +59,10 @@ def test_plain_graphs_need_no_round(spark, monkeypatch):
     nodes, edges = (df.where("app = 'a'") for df in frames(spark))
     monkeypatch.setattr(gr, "cut_lineage", lambda df: pytest.fail("a round was written"))
     assert gr.path_tokens(nodes, edges, KEYS).count() and gr.wl_labels(nodes, edges, KEYS).count()
+
+
+def test_distance_with_and_without_lengths(spark):
+    nodes, edges = frames(spark)
+    labels = gr.wl_labels(nodes, edges, KEYS)
+    shown = lambda df: {r.app: (r.n, round(r.distance, 9)) for r in gr.mean_graph_distance(df, nodes, ["app"], "s").collect()}
+    assert shown(labels) == shown(labels.drop("length"))
