@@ -66,3 +66,14 @@ def test_distance_with_and_without_lengths(spark):
     labels = gr.wl_labels(nodes, edges, KEYS)
     shown = lambda df: {r.app: (r.n, round(r.distance, 9)) for r in gr.mean_graph_distance(df, nodes, ["app"], "s").collect()}
     assert shown(labels) == shown(labels.drop("length"))
+
+
+def test_path_tokens(spark, monkeypatch):
+    nodes, edges = frames(spark)
+    got = rows(gr.path_tokens(nodes, edges, KEYS, 4), "token", "c")
+    assert got == rows(by_joins(monkeypatch, lambda: gr.path_tokens(nodes, edges, KEYS, 4)), "token", "c")
+    agents, _ = graphs()["a", "c3"]
+    names = [a.replace(" ", "_") for a in agents.values()]
+    want = Counter("__".join(names[i : i + n]) for n in range(1, 5) for i in range(len(names) - n + 1))
+    assert {t: c for (_, s, t, c) in got if s == "c3"} == dict(want)
+    assert ("b", "fork", "x__y__z", 2) in got
