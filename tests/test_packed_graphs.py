@@ -77,3 +77,13 @@ def test_path_tokens(spark, monkeypatch):
     want = Counter("__".join(names[i : i + n]) for n in range(1, 5) for i in range(len(names) - n + 1))
     assert {t: c for (_, s, t, c) in got if s == "c3"} == dict(want)
     assert ("b", "fork", "x__y__z", 2) in got
+
+
+@pytest.mark.parametrize("most", [3, 30])
+def test_long_graphs_go_by_joins(spark, most):
+    nodes, edges = (df.where("app = 'a'") for df in frames(spark))
+    made = lambda found: (found.graph, {"v": found.value})
+    done, odd = pk.per_graph(nodes.repartition(1), edges, KEYS, F.col("agent"), made, "v string", "t", 2, most)
+    size = {k: 2 * len(n) - 1 for k, (n, _) in graphs().items() if k[0] == "a"}
+    named = {(r.app, r.s) for r in odd.collect()} if odd else set()
+    assert named <= {k for k in size if size[k] > most} and {(r.app, r.s) for r in done.collect()} == set(size) - named
