@@ -47,8 +47,8 @@ def close_medoids(current: DataFrame, previous: DataFrame, limit: float, block_r
     for df in (current, previous):
         units = df.select(F.col("group_id").alias("id"), unit(F.col("vector")).alias("u"))
         sides.append(pack(units, ["id", "u"], block_rows))
-    (left, _), (right, m) = sides
-    met = left.select(F.col("id").alias("l_id"), F.col("u").alias("l_u"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("block")).join(right, "block")
+    left, right = sides
+    met = left.select(F.col("id").alias("l_id"), F.col("u").alias("l_u")).hint("shuffle_replicate_nl").crossJoin(right.select("id", "u"))
     kinds = [df.schema["group_id"].dataType.simpleString() for df in (current, previous)]
 
     def near(batches):
@@ -60,7 +60,7 @@ def close_medoids(current: DataFrame, previous: DataFrame, limit: float, block_r
                 out += [(row.l_id[i], row.id[j], d[i, j]) for i, j in np.argwhere(d <= limit)]
             yield pd.DataFrame(out, columns=["cur", "prev", "distance"])
 
-    return met.drop("block").mapInPandas(near, f"cur {kinds[0]}, prev {kinds[1]}, distance double")
+    return met.mapInPandas(near, f"cur {kinds[0]}, prev {kinds[1]}, distance double")
 
 
 def carried(current: DataFrame, previous: DataFrame, medoids: DataFrame, previous_medoids: DataFrame,
